@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, near_dedup
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 
