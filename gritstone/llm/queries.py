@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup
+from . import decontaminate, line_dedup, near_dedup, pieces, token_counts
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL = {
