@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, pieces, token_counts
+from . import decontaminate, line_dedup, near_dedup, pieces, quality, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
 }
