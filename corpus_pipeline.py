@@ -1,28 +1,62 @@
-"""A pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""A pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Every stage is written as Parquet and read again as the next one's input. All but the last return the
+columns of ``documents``, with ``text`` and ``n_chars`` as they then are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gritstone.llm.decontaminate import drop_contaminated
 from gritstone.llm.line_dedup import dedup_lines
+from gritstone.llm.near_dedup import drop_near_duplicates
+from gritstone.llm.pieces import encode
+from gritstone.llm.quality import keep_good
 from gritstone.llm.shared import stored
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of which no line is left goes too."""
-    out = dedup_lines(docs)
-    return out.where("n_removed = 0 OR n_removed < n_lines AND length(trim(text)) > 0").select(*docs.columns)
+    """Lines go wherever they aren't the first of their kind; a document of which no word is left goes too."""
+    out = dedup_lines(docs).where("n_removed = 0 OR length(trim(BOTH ' \n\t\r' FROM text)) > 0")
+    return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document that is left, and whether they decode to its text."""
+    return encode(docs).select("doc_id", "lang", "source", "n_ids", "ids", "decodes")
 
 
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
 ]
 
+#: The classifier, MinHash and SentencePiece can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written as Parquet and read again as the next one's input."""
+    """All stages over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
