@@ -2,14 +2,15 @@
 
 A chunk is a run of whitespace markers and what follows up to the next marker. Where no piece of the
 vocabulary holds a marker behind another character, merges never reach over a chunk's end, so a text's
-ids are its chunks' ids in order. Each worker keeps a table from chunk to ids: a chunk goes to the
+ids are its chunks' ids in order. Each task keeps a table from chunk to ids: a chunk goes to the
 library once, every later occurrence is a gather by position. Chunks are found and made distinct on
 Arrow buffers; no row of text is touched by Python alone. Nothing is shuffled.
 
 The condition is checked on the model when it is loaded (pieces across markers, a normaliser that changes
 text, no leading marker); a model that fails it is run on whole texts instead, with the same results.
 
-The table's memory is bounded: past ``table_chunks`` entries it starts anew, which only costs time.
+The table's memory is bounded: once it has ``table_chunks`` entries (the frequent ones come early), a further
+chunk is segmented once in each slice of documents instead. That only costs time.
 
 Defined results for odd input: a null text has null ids, an empty one no ids. A text that holds the
 marker character itself decodes to a space there, as the library's own decoding has it. Decoding takes
@@ -22,6 +23,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,13 @@ from .text import runs, slices, text_buffer
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
-TABLE_CHUNKS = 600_000
+TABLE_CHUNKS = 300_000
+_ENCODED_AT_ONCE = 16_384
 MARKER = "▁"
 
 
 class Codec:
-    """A model with its chunk table; one in each worker."""
+    """A model with its chunk table."""
 
     def __init__(self, path: str, table_chunks: int = TABLE_CHUNKS):
         import sentencepiece
@@ -49,7 +52,7 @@ class Codec:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.table_chunks = table_chunks
         self.by_chunk = self.model.encode("a b") == self.model.encode("a") + self.model.encode("b") and self._chunks_hold(pieces)
-        self._clear()
+        self.forget()
         body = []
         for i, p in enumerate(pieces):
             if self.model.is_byte(i):
@@ -70,26 +73,36 @@ class Codec:
         kept = all(self.model.decode(self.model.encode(t)) == t for t in ("  a  b ", "\ta\n\nb", "Ａ é ½"))
         return not across and kept and MARKER in pieces
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Start with an empty table."""
         self.known: dict[bytes, int] = {}
         self.ids, self.filled = np.empty(1 << 16, np.int32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        found = self.model.encode([c[1:].decode() for c in chunks], num_threads=1)
-        sizes = np.array([len(f) if c != b" " else 1 for f, c in zip(found, chunks, strict=True)], np.int64)
-        flat = np.array([i for f, c in zip(found, chunks, strict=True) for i in (f if c != b" " else (self.lone,))], np.int32)
-        while self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, int]:
+        """Segment ``chunks`` and give them the next places; those beyond the table's bound hold for this call only."""
         n = len(self.known)
         while n + len(chunks) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.at[n : n + len(chunks)] = self.filled + np.cumsum(sizes) - sizes
-        self.size[n : n + len(chunks)] = sizes
-        self.filled += len(flat)
-        for k, c in enumerate(chunks):
-            self.known[c] = n + k
+        filled, kept = self.filled, self.filled
+        for i in range(0, len(chunks), _ENCODED_AT_ONCE):
+            part = chunks[i : i + _ENCODED_AT_ONCE]
+            found = self.model.encode([c[1:].decode() for c in part], num_threads=1)
+            found = [(self.lone,) if c == b" " else f for f, c in zip(found, part, strict=True)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            total = int(sizes.sum())
+            while filled + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[filled : filled + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+            self.at[n + i : n + i + len(part)] = filled + np.cumsum(sizes) - sizes
+            self.size[n + i : n + i + len(part)] = sizes
+            filled += total
+        room = max(0, min(len(chunks), self.table_chunks - n))
+        if room:
+            kept = int(self.at[n + room - 1] + self.size[n + room - 1])
+        self.filled = kept
+        self.known.update(zip(chunks[:room], range(n, n + room), strict=True))
+        return dict(zip(chunks[room:], range(n + room, n + len(chunks)), strict=True))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and each row's offsets in them; nulls have none."""
@@ -117,12 +130,9 @@ class Codec:
         edges = np.concatenate([at, [len(wide)]]).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(wide)]).dictionary_encode()
         distinct = chunks.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > self.table_chunks:
-            self._clear()
-        fresh = [c for c in distinct if c not in self.known]
-        if fresh:
-            self._learn(fresh)
-        place = np.fromiter((self.known[c] for c in distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
+        known = self.known
+        rare = self._learn([c for c in distinct if c not in known])
+        place = np.fromiter((known[c] if c in known else rare[c] for c in distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
         sizes = self.size[place]
         ids = self.ids[runs(sizes, self.at[place])]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -179,7 +189,8 @@ def encode(docs: DataFrame, path: str | None = None, round_trip: bool = True, ta
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, table_chunks)
-        for batch in slices(batches, "text", 8 << 20):
+        own.forget()
+        for batch in slices(batches, "text", 4 << 20):
             text = batch.column("text")
             ids, off = own.encode(text)
             valid = text.is_valid()
@@ -188,6 +199,7 @@ def encode(docs: DataFrame, path: str | None = None, round_trip: bool = True, ta
             if round_trip:
                 more["decodes"] = pc.equal(own.decode(ids, off), text.cast(pa.large_string()))
             yield _with(batch, **more)
+        own.forget()
 
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, *new]))
 

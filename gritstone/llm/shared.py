@@ -6,10 +6,12 @@ none gets a temporary one; on a cluster without the setting these functions refu
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,18 +72,34 @@ def read_file(uri: str) -> memoryview:
     """A whole file; mapped into memory where the file is a local one."""
     fs, path = open_fs(uri)
     if isinstance(fs, pafs.LocalFileSystem):
-        import pyarrow as pa
-
         with pa.memory_map(path) as f:
             return memoryview(f.read_buffer())
     with fs.open_input_file(path) as f:
         return memoryview(f.read())
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow``, with this package sent to the executors first: their Python path need not hold it."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """``df.mapInArrow``, with this package sent to the executors first: their Python path need not hold it.
+
+    Documents are long, so batches are kept at 2,048 rows, unless the session says otherwise. Memory that
+    a task has used goes back to the system when it ends, for workers live on.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "2048")
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 _shipped: set[str] = set()

@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
         fs, base = open_fs(folder)
         part, done = f"{base}/.{name}.{uuid.uuid4().hex[:8]}", 0
         out = None
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(part)
@@ -65,6 +65,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None) ->
             out.write(memoryview(flat).cast("B"))
             yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), pa.array(np.arange(done, done + batch.num_rows)), batch.column("doc_id")], ["file", "ordinal", "doc_id"])
             done += batch.num_rows
+        own.forget()
         if out is not None:
             out.close()
             fs.move(part, f"{base}/{name}")
@@ -125,4 +126,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
     places = write_token_files(docs, folder)
     counts = count_tokens(spark, folder, codec(model_path()).model.eos_id())
-    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return places.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
