@@ -46,15 +46,17 @@ _ANCHOR[[*b"0123456789@"]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[*b" \t\r\n"]] = True
 
+#: Patterns of each kind; several of a kind may propose different spans in one place.
 GENERATORS = {
-    "email": re.compile(r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)*"),
-    "ip": re.compile(r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w]|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{0,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])"),
-    "phone": re.compile(r"(?<![\w])\+?\(?\d[\d ()./-]{5,22}\d(?!\w)"),
-    "card": re.compile(r"(?<![\w])\d(?:[ -]?\d){11,18}(?!\w)"),
-    "national_id": re.compile(r"(?<![\w-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w-])"),
-    "iban": re.compile(r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{2,4}){3,8}(?!\w)"),
-    "secret": re.compile(r"(?<![\w+/-])[A-Za-z0-9_+/=-]{16,}(?![\w])"),
+    "email": (r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)*",),
+    "ip": (r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w]|\.\d)", r"(?<![\w:])(?:[0-9a-fA-F]{0,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])"),
+    "phone": (r"(?<![\w])\+?\(?\d[\d ()./-]{5,22}\d(?!\w)", r"\+?(?<!\w)\d{0,3}[ -]?\(\d{1,4}\) ?\d{3,4}[ -]?\d{3,5}(?!\w)", r"\+\d{1,3}(?:[ -]\d{2,4}){3,4}(?!\w)"),
+    "card": (r"(?<![\w])\d(?:[ -]?\d){11,18}(?!\w)", r"(?<!\w)\d{13,19}(?!\w)"),
+    "national_id": (r"(?<![\w-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w-])",),
+    "iban": (r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{2,4}){3,8}(?!\w)", r"(?<!\w)[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}(?!\w)"),
+    "secret": (r"(?<![\w+/-])[A-Za-z0-9_+/=-]{16,}(?![\w])", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9])"),
 }
+_COMPILED = tuple(tuple(re.compile(p) for p in GENERATORS[kind]) for kind in KINDS)
 _WORDS = (
     ("mail", "e-mail", "email", "contact", "write"),
     ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp"),
@@ -80,7 +82,7 @@ class Span(NamedTuple):
 
 def candidates(text: str) -> list[Span]:
     """All candidates of all generators."""
-    return [Span(*m.span(), k) for k, kind in enumerate(KINDS) for m in GENERATORS[kind].finditer(text)]
+    return list(dict.fromkeys(Span(*m.span(), k) for k, patterns in enumerate(_COMPILED) for p in patterns for m in p.finditer(text)))
 
 
 def _luhn(digits: str) -> bool:
@@ -201,6 +203,8 @@ def _examples(seed: int, n: int) -> tuple[list[tuple[str, Span]], list[int]]:
             lead += f" {cue}{pick(' ', ': ', ' ') if cue else ''}"
             lead = lead if lead.endswith(" ") else lead + " "
             tail = pick("", ".", ",", "%%%", "###", "!!", "&&&", " |", ")", "") + " " + word()
+        if rng.random() < 0.15:
+            tail = pick(" ", ", ") + pick(octets(), number(3), number(16), number(4)) + tail
         text = lead + value + tail
         begin = len(lead)
         for span in candidates(text):
