@@ -40,7 +40,8 @@ def reverse_digits(ts: Column) -> Column:
 
 def from_reverse_digits(number: Column) -> Column:
     """The time of such a number, to the millisecond."""
-    return F.to_timestamp_ntz((F.lit(999_999_999_999_999_999) - number).cast("string"), F.lit("yyyyMMddHHmmssSSS"))
+    digits = F.lpad((F.lit(999_999_999_999_999_999) - number).cast("string"), 17, "0")
+    return F.to_timestamp_ntz(F.concat(F.substring(digits, 1, 14), F.lit("."), F.substring(digits, 15, 3)), F.lit("yyyyMMddHHmmss.SSS"))
 
 
 def url_pairs(url: Column) -> Column:
