@@ -124,7 +124,7 @@ def _verified(seeds: Seeds, w: Words, row: np.ndarray, item: np.ndarray, diff: n
     a, z = a[good], z[good]
     owner = of[a]
     which, first = np.unique(owner, return_index=True)
-    last = np.concatenate([first[1:], [len(owner)]]) - 1
+    last = np.append(first[1:], len(owner))[: len(first)] - 1
     lo, hi = a[first], z[last]
     return {"which": which, "agree": total[hi] - total[lo], "lo": lo - begin[which] + diff[which], "hi": hi - begin[which] + diff[which]}
 
