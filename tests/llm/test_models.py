@@ -1,0 +1,222 @@
+import random
+import string
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gritstone.llm import boosting, gam, pii, quality, string_kernel, toxicity
+
+from . import cases
+
+
+@pytest.fixture(scope="module")
+def mid_dir():
+    return "/root/testdata/sf0.1"
+
+
+def read(spark, d, t):
+    return spark.read.parquet(f"{d}/{t}.parquet")
+
+
+# -- additive model
+
+
+def test_additive_model_learns_main_effects_and_pairs():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6000, 4))
+    y = ((np.abs(x[:, 0]) > 1) ^ (x[:, 1] * x[:, 2] > 0)).astype(int)
+    y = np.where(rng.random(6000) < 0.02, 1 - y, y)
+    model = gam.fit(x[:4000], y[:4000], tuple("abcd"))
+    assert (1, 2) in model.pairs
+    z = (x[:, 1] * x[:, 2] > 0).astype(int)
+    pairs = gam.fit(x[:4000], z[:4000], tuple("abcd"))
+    assert ((pairs.probability(x[4000:]) > 0.5) == z[4000:]).mean() > 0.9
+    by_hand = np.full(5, model.intercept)
+    for k in range(5):
+        for j in range(4):
+            by_hand[k] += model.tables[j][(model.edges[j] <= x[k, j]).sum()]
+        for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+            by_hand[k] += t[(model.coarse[i] <= x[k, i]).sum(), (model.coarse[j] <= x[k, j]).sum()]
+    assert np.allclose(model.score(x[:5]), by_hand)
+
+
+def test_constant_models():
+    assert gam.fit(np.zeros((0, 1)), np.zeros(0, int), ("a",)).probability(np.zeros((2, 1))).min() > 0.99
+    assert gam.fit(np.zeros((3, 1)), np.zeros(3, int), ("a",)).probability(np.zeros((2, 1))).max() < 0.01
+
+
+def test_features_are_those_of_each_text_alone():
+    texts = ["One two two. THREE!", "", None, "a|b|c\nx %%% 12", "é é é", "\n", "word " * 300]
+    whole = quality.features(pa.array(texts))
+    assert np.allclose(whole, np.concatenate([quality.features(pa.array([t], pa.string())) for t in texts]))
+    row = dict(zip(quality.FEATURES, whole[0], strict=True))
+    assert np.isclose(row["repeats"], 0.25) and np.isclose(row["capitals"], 6 / 14) and np.isclose(row["marks"], 0.25)
+
+
+def test_quality_on_documents_held_out(spark, mid_dir):
+    labels = read(spark, mid_dir, "labels")
+    docs = read(spark, mid_dir, "documents").where("n_chars < 6000").join(labels.select("doc_id"), "doc_id", "left_semi")
+    fitted = labels.where("doc_id % 2 = 0")
+    held = labels.where("doc_id % 2 = 1").join(quality.score(docs, quality.train(docs, fitted)), "doc_id").toPandas()
+    good = held.quality == 1
+    assert (held.keep == good).mean() > 0.97
+    assert held.keep[good].mean() > 0.985 and held.keep[~good].mean() < 0.1
+
+
+def test_quality_of_odd_tables(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels")
+    odd = cases.clashing(cases.odd(spark))
+    out = quality.keep_good(odd, labels.limit(0))
+    assert out.columns == odd.columns
+    assert {r.doc_id for r in out.collect()} == {None, 4, 5, 6, 7, 8} and out.where("doc_id = 6").count() == 2
+    assert quality.keep_good(odd, labels.limit(1).withColumn("doc_id", F.lit(6).cast("long")).withColumn("quality", F.lit(0))).count() == 0
+    strange = labels.limit(2).withColumn("quality", F.lit(None).cast("int")).withColumn("label", F.lit("x"))
+    assert quality.keep_good(cases.empty(spark), strange).count() == 0
+
+
+def test_the_labelled_sample_is_bounded(spark, mid_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, names, **k: seen.append(len(x)) or gam.fit(x, y, names, **k))
+    quality.train(read(spark, mid_dir, "documents"), read(spark, mid_dir, "labels"), max_labelled=500)
+    assert 350 < seen[0] < 650
+
+
+# -- toxicity
+
+
+def test_kernel_is_the_sum_over_subsequences():
+    from collections import defaultdict
+    from itertools import combinations
+
+    def features(s):
+        out = defaultdict(float)
+        for c in combinations(range(len(s)), 3):
+            out[bytes(s[i] for i in c)] += string_kernel.DECAY ** (c[-1] - c[0] + 1)
+        return out
+
+    rng = random.Random(0)
+    units = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 14))) for _ in range(60)] + [b"\xc3\xa9\xc3\xa9x"]
+    marks = [b"abcab", b"dcba", b"aaaa", b"ab", b"\xc3\xa9\xc3\xa9"]
+    got = string_kernel.kernel(string_kernel.matrix(units), marks)
+    for k, u in enumerate(units):
+        for m, z in enumerate(marks):
+            a, b = features(u), features(z)
+            norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            want = sum(v * b.get(s, 0) for s, v in a.items()) / norm if norm else 0
+            assert abs(got[k, m] - want) < 1e-4
+    has = np.zeros((len(units), 256), bool)
+    for k, u in enumerate(units):
+        has[k, list(u)] = True
+    for m, z in enumerate(marks):
+        assert (string_kernel.Bound(z).of(has) >= got[:, m] - 1e-4).all()
+
+
+def test_units_see_through_separators():
+    def of(text):
+        body, start, end, _, _ = toxicity.units(pa.array([text]))
+        return {bytes(body[s:e]).decode() for s, e in zip(start, end, strict=True)}
+
+    assert of("You i.d*i-o_t! X") == {"you", "idiot"}
+    assert of("so i d i o t here") == {"idiot", "here"}
+    long = "abcdefghij" * 9
+    assert all(len(u.encode()) <= 23 for u in of(long)) and any(long[30:41] in u for u in of(long))
+    assert of("") == set()
+
+
+def test_toxicity_on_documents_held_out(spark, mid_dir):
+    labels = read(spark, mid_dir, "labels")
+    docs = read(spark, mid_dir, "documents").where("n_chars < 2500").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).persist()
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
+    held = labels.where("doc_id % 2 = 1").toPandas().set_index("doc_id").toxic
+    found = {r.doc_id for r in toxicity.score(docs, model).collect()}
+    hit = held.index.isin(found)
+    assert hit[held == 1].mean() > 0.8 and hit[held == 0].mean() < 0.005
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where("lang = 'en' AND n_chars BETWEEN 300 AND 600").limit(40).collect()]
+    rng = random.Random(2)
+    rows = []
+    for k, t in enumerate(clean):
+        words = t.split(" ")
+        for _ in range(2):
+            w = rng.choice(["idiot", "clown", "scum", "moron", "trash"])
+            i = rng.randrange(1, len(w))
+            words.insert(rng.randrange(len(words)), rng.choice([w, w[:i] + rng.choice("qxz07") + w[i:], ".".join(w), " ".join(w)]))
+        rows += [(2 * k, t), (2 * k + 1, " ".join(words))]
+    got = {r.doc_id for r in toxicity.score(cases.docs(spark, rows), model).collect()}
+    assert sum(2 * k + 1 in got for k in range(40)) >= 34 and not any(d % 2 == 0 for d in got)
+    odd = toxicity.score(cases.clashing(cases.odd(spark)), model)
+    assert odd.count() == 0 and toxicity.score(cases.empty(spark), model).count() == 0
+    twice = cases.docs(spark, [(5, "idiot clown scum")] * 2 + [(None, "you idiot clown scum"), (6, cases.LONG + " idiot clown scum idiot")])
+    assert sorted(str(r.doc_id) for r in toxicity.score(twice, model).collect()) == ["5", "5", "6", "None"]
+
+
+def test_without_labels_nothing_is_toxic(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    for none in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
+        assert toxicity.train(docs, none) is None
+    assert toxicity.score(docs, None).count() == 0
+
+
+# -- personal data
+
+
+def test_boosting_and_calibration():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 3))
+    p = 1 / (1 + np.exp(-3 * x[:, 0] * (x[:, 1] > 0)))
+    y = (rng.random(4000) < p).astype(int)
+    model = boosting.fit(x[:3000], y[:3000])
+    got = model.probability(x[3000:])
+    assert abs(got - p[3000:]).mean() < 0.12
+    high = got > 0.8
+    assert abs(y[3000:][high].mean() - got[high].mean()) < 0.08
+    points, levels = boosting.isotonic(np.arange(6.0), np.array([0, 1, 0, 0, 1, 1]))
+    assert (np.diff(levels) >= 0).all() and len(points) == len(levels)
+
+
+def test_windows_do_not_change_what_is_found():
+    model = pii.detector()
+    rng = random.Random(4)
+    values = ["joe.doe7@mail3.example.com", "93.184.216.34", "+1 (415) 555-0134", "4111111111111111", "4111 1111 1111 1111", 'token = "0123abcd4567ef890123abcd4567ef890123abcd"', "DE89370400440532013000", "version 2.0.", "order 1234567890123", "in 2024-01-02"]
+    texts = [" ".join(rng.choice(values) if rng.random() < 0.1 else "wörd" * rng.randint(1, 3) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    s = pii.find(model, pa.array(texts))
+    got = sorted(zip(s["row"], s["begin"], s["end"], s["kind"], strict=True))
+    want = sorted((i, b, e, pii.KINDS[k]) for i, t in enumerate(texts) for b, e, k, _ in model.judge([t])[0])
+    assert got == want and len({g[3] for g in got}) >= 5
+    assert not any("order" in texts[r][max(0, b - 7) : b] or "version" in texts[r][max(0, b - 9) : b] for r, b, _, _ in got)
+
+
+def test_personal_data_of_examples_held_out():
+    spans, labels = pii._examples(31_337, 6_000)
+    model, y = pii.detector(), np.array(labels)
+    p = model.trees.probability(np.array([pii.describe(t, s) for t, s in spans]))
+    kind = np.array([s.kind for _, s in spans])
+    for k in range(len(pii.KINDS)):
+        own = kind == k
+        taken = p[own] >= model.thresholds[k]
+        assert y[own][taken].mean() > 0.93 and taken[y[own] == 1].mean() > 0.95, pii.KINDS[k]
+
+
+def test_personal_data_in_documents(spark, sf_dir):
+    import re
+
+    docs = read(spark, sf_dir, "documents")
+    spans = {(r.doc_id, r.begin, r.end) for r in pii.find_pii(docs).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    want = {(i, *m.span()) for i, t in text.items() for m in re.finditer(r"[\w.]+@mail\d+\.example\.com|(?<=token = \")[0-9a-f]{40}|\+\d \(\d{3}\) \d{3}-\d{4}", t)}
+    assert len(want & spans) >= 0.97 * len(want)
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, b, e in spans:
+        assert text[i][b:e] not in red[i]
+    assert all(red[i] == t for i, t in text.items() if i not in {s[0] for s in spans})
+
+
+def test_personal_data_of_odd_tables(spark):
+    odd = cases.clashing(cases.odd(spark))
+    assert pii.find_pii(odd).where("doc_id <> 4").count() == 0 and pii.find_pii(cases.empty(spark)).count() == 0
+    assert pii.redact(odd).where("text IS NULL").count() == 2 and pii.redact(odd).columns == odd.columns
+    rows = [(1, "mail joe.doe7@example.com now")] * 2 + [(None, "é" * 300 + " joe.doe7@example.com"), (2, "x" + string.digits * 50_000)]
+    got = sorted((str(r.doc_id), r.begin, r.end, r.kind) for r in pii.find_pii(cases.docs(spark, rows)).collect())
+    assert got == [("1", 5, 25, "email"), ("1", 5, 25, "email"), ("None", 301, 321, "email")]
