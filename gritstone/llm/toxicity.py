@@ -13,7 +13,7 @@ that several clean documents have are known to be harmless, whatever they resemb
 
 Some units tell more than others: a slur is proof, a word that resembles one may be chance in a long text.
 So on labelled documents that took no part in the fit, scores are cut into bands by how rarely
-clean text reaches them, and a document's evidence is the Poisson deviance of its own counts from those rates. The
+clean text reaches them, and a document's evidence is the Poisson deviance of its own counts of different units from those rates. The
 threshold on the evidence is such that nearly all of those clean documents stay below.
 
 Scoring: units are made distinct in each slice. An exact bound from the characters a unit has rules most of
@@ -44,14 +44,14 @@ LANDMARKS = 150
 CLEAN_LANDMARKS = 30
 UNLIKE = 0.85
 POWER = 2
-CLEAN_RATES = (5e-4, 1e-4, 1e-5)
+CLEAN_RATES = (5e-3, 5e-4, 1e-4, 1e-5)
 TELLING = 5_000
 NEGATIVES = 15_000
 BENIGN = 40_000
-TELLING_EVIDENCE = 8.0
+TELLING_EVIDENCE, TELLING_RATE = 8.0, 10.0
 LEAST_EVIDENCE = 4.0
 COST = 4.0
-CLEAN_SHARE = 0.999
+CLEAN_SHARE = 0.9995
 _TABLE = 300_000
 _MARK = ord("^")
 _KEPT = np.zeros(256, bool)
@@ -142,9 +142,15 @@ class Model(NamedTuple):
         return out
 
     def evidence(self, hits: np.ndarray, n_units: np.ndarray) -> np.ndarray:
-        """Poisson deviance of each row's counts by band, where they are above what clean text has."""
+        """Poisson deviance of each row's counts by band, where they are above what clean text has.
+
+        The lowest band is a control: a row with more of it than usual is written in words that resemble
+        telling ones (another language, say), so more is expected of it in the other bands too.
+        """
         expected = self.rates * n_units[:, None]
+        expected *= np.maximum(1, (hits[:, :1] + 2) / (expected[:, :1] + 2))
         more = hits > expected
+        more[:, 0] = False
         out = np.zeros(hits.shape)
         out[more] = hits[more] * np.log(hits[more] / expected[more]) - hits[more] + expected[more]
         return out.sum(axis=1)
@@ -232,7 +238,7 @@ def fit(telling: list[tuple[bytes, int]], clean: list[tuple[bytes, int]], benign
     w, bias = fit_svm(k @ whiten, y, weight)
     alpha = (whiten @ w).astype(np.float32)
     bounds = tuple(Bound(z) if a > 0 else None for z, a in zip(landmarks, alpha, strict=True))
-    return Model(tuple(landmarks), Landmarks(landmarks), alpha, bias, bounds, benign, np.zeros(1), np.full(1, 1e-6), 0.0)
+    return Model(tuple(landmarks), Landmarks(landmarks), alpha, bias, bounds, benign, np.zeros(2), np.full(2, 1e-6), 0.0)
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         return None
     counts = sets.groupBy("unit").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c"))
     chance = (F.col("c") + 0.5) / n[0] * n[1]
-    tells = (F.col("t") >= 3) & (F.col("t") > chance) & (F.col("t") * F.log(F.col("t") / chance) - F.col("t") + chance > TELLING_EVIDENCE)
+    tells = (F.col("t") >= 3) & (F.col("t") > TELLING_RATE * chance) & (F.col("t") * F.log(F.col("t") / chance) - F.col("t") + chance > TELLING_EVIDENCE)
     telling = [(bytes(r["unit"]), r["t"]) for r in counts.where(tells).orderBy(F.desc("t"), "unit").limit(TELLING).collect()]
     clean = [(bytes(r["unit"]), r["c"]) for r in counts.where("c > 0").where(~tells).orderBy(F.desc("c"), F.xxhash64("unit"), "unit").limit(BENIGN).collect()]
     model = fit(telling, clean[:NEGATIVES], frozenset(u for u, c in clean if c > 1))
@@ -292,7 +298,7 @@ class Judge:
         self.model, self.known = model, {}
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Row and score of each unit in a band, distinct units with their numbers, and the number of units of each row."""
+        """Row and score of each different unit of a row in a band, the units with their numbers, and the number of units of each row."""
         body, start, end, row, _ = units(column)
         rows, code = distinct_units(body, start, end)
         may = np.flatnonzero(self.model.possible(rows))
@@ -307,6 +313,8 @@ class Judge:
         score = np.full(len(rows), -np.inf)
         score[may] = [self.known[u] for u in names]
         at = np.flatnonzero(score[code] > self.model.bands[0])
+        # A unit that a document repeats counts once: a word said a hundred times is one piece of evidence.
+        at = at[np.unique(row[at] * np.int64(len(rows) + 1) + code[at], return_index=True)[1]]
         number = np.full(len(rows), -1)
         number[may] = np.arange(len(may))
         return row[at], score[code[at]], names, number[code[at]], np.bincount(row, minlength=len(column)).astype(float)
