@@ -22,6 +22,7 @@ repeated spans, null ids are carried. Redaction keeps a null text null and all c
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,13 +49,13 @@ _BLANK[[*b" \t\r\n"]] = True
 
 #: Patterns of each kind; several of a kind may propose different spans in one place.
 GENERATORS = {
-    "email": (r"[\w.%+'-]+@[\w-]+(?:\.[\w-]+)*",),
+    "email": (r"(?<![\w.%+'-])[\w.%+'-]++@[\w-]+(?:\.[\w-]+)*",),
     "ip": (r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w]|\.\d)", r"(?<![\w:])(?:[0-9a-fA-F]{0,4}:){3,7}[0-9a-fA-F]{1,4}(?![\w:])"),
     "phone": (r"(?<![\w])\+?\(?\d[\d ()./-]{5,22}\d(?!\w)", r"\+?(?<!\w)\d{0,3}[ -]?\(\d{1,4}\) ?\d{3,4}[ -]?\d{3,5}(?!\w)", r"\+\d{1,3}(?:[ -]\d{2,4}){3,4}(?!\w)"),
     "card": (r"(?<![\w])\d(?:[ -]?\d){11,18}(?!\w)", r"(?<!\w)\d{13,19}(?!\w)"),
     "national_id": (r"(?<![\w-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w-])",),
     "iban": (r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{2,4}){3,8}(?!\w)", r"(?<!\w)[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}(?!\w)"),
-    "secret": (r"(?<![\w+/-])[A-Za-z0-9_+/=-]{16,}(?![\w])", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9])"),
+    "secret": (r"(?<![\w+/-])[A-Za-z0-9_+/=-]{16,}+(?![\w])", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])"),
 }
 _COMPILED = tuple(tuple(re.compile(p) for p in GENERATORS[kind]) for kind in KINDS)
 _WORDS = (
@@ -232,9 +233,11 @@ class Detector(NamedTuple):
         order = sorted(range(len(found)), key=lambda k: (-p[k], found[k][1].begin - found[k][1].end, found[k][1].begin, found[k][1].kind))
         for k in order:
             i, s = found[k]
-            if p[k] >= self.thresholds[s.kind] and all(s.end <= b or s.begin >= e for b, e, _, _ in out[i]):
-                out[i].append((s.begin, s.end, s.kind, float(p[k])))
-        return [sorted(spans) for spans in out]
+            if p[k] >= self.thresholds[s.kind]:
+                at = bisect(out[i], (s.begin,))
+                if (not at or out[i][at - 1][1] <= s.begin) and (at == len(out[i]) or out[i][at][0] >= s.end):
+                    out[i].insert(at, (s.begin, s.end, s.kind, float(p[k])))
+        return out
 
 
 @lru_cache(maxsize=2)
