@@ -148,7 +148,7 @@ def test_toxicity_on_documents_held_out(spark, mid_dir):
     assert sum(2 * k + 1 in got for k in range(40)) >= 34 and not any(d % 2 == 0 for d in got)
     odd = toxicity.score(cases.clashing(cases.odd(spark)), model)
     assert odd.count() == 0 and toxicity.score(cases.empty(spark), model).count() == 0
-    twice = cases.docs(spark, [(5, "idiot clown scum")] * 2 + [(None, "you idiot clown scum"), (6, cases.LONG + " idiot clown scum idiot")])
+    twice = cases.docs(spark, [(5, "idiot clown scum")] * 2 + [(None, "you idiot clown scum"), (6, cases.LONG[:90_000] + " idiot clown scum moron trash stupid loser")])
     assert sorted(str(r.doc_id) for r in toxicity.score(twice, model).collect()) == ["5", "5", "6", "None"]
 
 
