@@ -116,29 +116,3 @@ class Landmarks:
 def kernel(u: np.ndarray, landmarks: list[bytes], own: np.ndarray | None = None) -> np.ndarray:
     """Normalised kernel of each row with each landmark; strings shorter than ``ORDER`` are like nothing."""
     return Landmarks(landmarks).values(u, own)
-
-
-class Bound:
-    """Upper bounds of the kernel with a landmark, by which of the landmark's characters a string has.
-
-    Only subsequences of shared characters count, so by Cauchy-Schwarz the normalised kernel is at most the
-    norm of the landmark's features on those, over the norm of all. There is one value a subset.
-    """
-
-    def __init__(self, landmark: bytes):
-        self.letters = sorted(set(landmark))
-        whole = self_kernel(matrix([landmark]))[0]
-        rows = np.zeros((1 << len(self.letters), WIDTH), np.uint8)
-        for subset in range(len(rows)):
-            have = {c for b, c in enumerate(self.letters) if subset >> b & 1}
-            # Characters that a string lacks are replaced by unequal ones, which keeps the gaps as they are.
-            rows[subset, : len(landmark)] = [c if c in have else 0 for c in landmark]
-        kept = np.concatenate([_raw(rows, lambda i: (rows[:, : len(landmark)] == rows[:, i : i + 1]) & (rows[:, i : i + 1] > 0))])
-        self.value = np.sqrt(kept / whole) if whole > 0 else np.zeros(len(rows))
-
-    def of(self, has: np.ndarray) -> np.ndarray:
-        """Bounds for strings given as 256 columns of which characters each has."""
-        subset = np.zeros(len(has), np.int64)
-        for b, c in enumerate(self.letters):
-            subset |= has[:, c].astype(np.int64) << b
-        return self.value[subset]

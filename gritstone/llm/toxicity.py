@@ -16,8 +16,8 @@ So on labelled documents that took no part in the fit, scores are cut into bands
 clean text reaches them, and a document's evidence is the Poisson deviance of its own counts of different units from those rates. The
 threshold on the evidence is such that nearly all of those clean documents stay below.
 
-Scoring: units are made distinct in each slice. An exact bound from the characters a unit has rules most of
-them out; the rest are evaluated, once a worker. Every document is scored, on its whole text, in one pass.
+Scoring: units are made distinct in each slice and evaluated once a task, as far as its table reaches. The
+kernel with all landmarks is one sparse-to-dense product over the subsequences they share. Every document is scored, on its whole text, in one pass.
 
 Defined results for odd input: null and empty texts have no unit and are not toxic. Labels that are null
 don't count; of several labels of a document the highest does. Without labels of both kinds nothing is
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import arrow_map, stored
-from .string_kernel import ORDER, WIDTH, Bound, Landmarks, matrix, self_kernel
+from .string_kernel import ORDER, WIDTH, Landmarks, matrix, self_kernel
 from .text import lowered, runs, slices, text_buffer
 
 MAX_LABELLED = 20_000
@@ -128,7 +128,6 @@ class Model(NamedTuple):
     index: Landmarks
     weights: np.ndarray
     bias: float
-    bounds: tuple[Bound | None, ...]
     benign: frozenset[bytes]
     bands: np.ndarray
     rates: np.ndarray
@@ -159,20 +158,6 @@ class Model(NamedTuple):
         """Scores of units given as rows of bytes."""
         return self.index.values(u) ** POWER @ self.weights + self.bias
 
-    def possible(self, u: np.ndarray) -> np.ndarray:
-        """Which units may reach the threshold at all."""
-        out = np.zeros(len(u), bool)
-        for i in range(0, len(u), 8192):
-            p = u[i : i + 8192]
-            has = np.zeros((len(p), 256), bool)
-            has[np.arange(len(p))[:, None], p] = True
-            most = np.full(len(p), self.bias)
-            for w, b in zip(self.weights, self.bounds, strict=True):
-                if b is not None:
-                    most += w * b.of(has) ** POWER
-            out[i : i + 8192] = most > self.bands[0] - 1e-4
-        return out
-
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss; labels are -1 and 1. Newton steps on the active rows until they stay the same."""
@@ -237,8 +222,7 @@ def fit(telling: list[tuple[bytes, int]], clean: list[tuple[bytes, int]], benign
     whiten = vectors[:, good] / np.sqrt(values[good])
     w, bias = fit_svm(k @ whiten, y, weight)
     alpha = (whiten @ w).astype(np.float32)
-    bounds = tuple(Bound(z) if a > 0 else None for z, a in zip(landmarks, alpha, strict=True))
-    return Model(tuple(landmarks), Landmarks(landmarks), alpha, bias, bounds, benign, np.zeros(2), np.full(2, 1e-6), 0.0)
+    return Model(tuple(landmarks), Landmarks(landmarks), alpha, bias, benign, np.zeros(2), np.full(2, 1e-6), 0.0)
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,23 +285,21 @@ class Judge:
         """Row and score of each different unit of a row in a band, the units with their numbers, and the number of units of each row."""
         body, start, end, row, _ = units(column)
         rows, code = distinct_units(body, start, end)
-        may = np.flatnonzero(self.model.possible(rows))
-        names = np.ascontiguousarray(rows[may]).view(f"S{WIDTH}").ravel().tolist()
-        new = [i for i, u in enumerate(names) if u not in self.known]
-        if new:
-            if len(self.known) + len(new) > _TABLE:
-                self.known.clear()
-                new = list(range(len(names)))
-            for i, s in zip(new, self.model.scores(rows[may[new]]).tolist(), strict=True):
-                self.known[names[i]] = -np.inf if names[i] in self.model.benign else s
-        score = np.full(len(rows), -np.inf)
-        score[may] = [self.known[u] for u in names]
+        names = np.ascontiguousarray(rows).view(f"S{WIDTH}").ravel().tolist()
+        known = self.known
+        score = np.array([known.get(u, np.nan) for u in names])
+        new = np.flatnonzero(np.isnan(score))
+        if len(new):
+            score[new] = self.model.scores(rows[new])
+            for i in new.tolist():
+                if names[i] in self.model.benign:
+                    score[i] = -np.inf
+                if len(known) < _TABLE:
+                    known[names[i]] = float(score[i])
         at = np.flatnonzero(score[code] > self.model.bands[0])
         # A unit that a document repeats counts once: a word said a hundred times is one piece of evidence.
         at = at[np.unique(row[at] * np.int64(len(rows) + 1) + code[at], return_index=True)[1]]
-        number = np.full(len(rows), -1)
-        number[may] = np.arange(len(may))
-        return row[at], score[code[at]], names, number[code[at]], np.bincount(row, minlength=len(column)).astype(float)
+        return row[at], score[code[at]], names, code[at], np.bincount(row, minlength=len(column)).astype(float)
 
 
 def _tally(docs: DataFrame, model: Model) -> DataFrame:
