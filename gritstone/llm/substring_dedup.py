@@ -13,6 +13,10 @@ Defined results for odd input: lines with the same words in the same order are t
 their case and punctuation; shorter lines are never touched. Null and empty texts have no units. Rows with
 the same ``doc_id`` are the same document: each row keeps the unit or loses it like the other. Rows
 without a ``doc_id`` rank last, together as one document. An empty table gives an empty one.
+
+Lines are what the SQL compares. A passage that is wrapped otherwise, or lies inside a longer line, needs units that don't
+depend on lines: ``dedup_embedded`` cuts the stream of words where their hashes are least, hashes stretches
+of at least ``least`` words between cuts in 96 bits, and removes what lies under later ones but under none that ranks first.
 """
 
 from __future__ import annotations
@@ -21,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .line_dedup import owners
 from .shared import arrow_map, stored
-from .text import char_offsets, lines, lowered, slices, text_buffer
+from .text import char_offsets, lines, lowered, mix, sequence_hash, slices, text_buffer, words
 
 MIN_WORDS = 20
+_NEAR = 10
 _UNITS = "lane0 bigint, lane1 bigint, doc bigint, begin int, end int"
 
 
@@ -96,6 +103,110 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.transform("removed", lambda r: r["begin"]).alias("begins"), F.transform("removed", lambda r: r["end"]).alias("ends"), F.transform("removed", lambda r: r["first_doc_id"]).alias("kept_in"))
 
 
+def _find_passages(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            buf, off = text_buffer(lowered(batch.column("text")))
+            w = words(buf, off)
+            begin, end = _passages(w.hash, w.first, least)
+            lanes = [sequence_hash(w.hash, begin, end, "lane0").view(np.int64), (sequence_hash(mix(w.hash), begin, end, "lane1") >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            row = np.searchsorted(w.first, begin, "right") - 1
+            last = end == w.first[row + 1]
+            stop = np.where(last, w.end[end - 1], w.start[np.minimum(end, len(w.start) - 1)]) if len(end) else end
+            start = w.start[begin]
+            columns = [*lanes, batch.column("key").to_numpy()[row]] + [char_offsets(buf, off, row, x).astype(np.int32) for x in (start, stop)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lane0", "lane1", "doc", "begin", "end"])
+
+    return run
+
+
+def _passages(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word (exclusive) of the units of passages.
+
+    Cuts are the least hashes of two words running in any window of ``_NEAR`` words, so they depend on the words around
+    them only. A unit goes from each cut to the first one ``least`` words on, and one more reaches the row's end.
+    """
+    n = int(first[-1]) if len(first) else 0
+    pair = h.copy()
+    pair[1:] = mix(h[1:] * np.uint64(3) + h[:-1])
+    is_cut = np.zeros(n + 1, bool)
+    if n >= _NEAR:
+        at = sliding_window_view(pair, _NEAR).argmin(axis=1) + np.arange(n - _NEAR + 1)
+        row = np.searchsorted(first, at, "right")
+        low = np.arange(n - _NEAR + 1)
+        inside = (first[row - 1] <= low) & (low + _NEAR <= first[row])
+        is_cut[at[inside]] = True
+    is_cut[first] = True
+    cuts = np.flatnonzero(is_cut)
+    at = cuts[cuts < n]
+    limit = first[np.searchsorted(first, at, "right")]
+    at, limit = at[at + least <= limit], limit[at + least <= limit]
+    to = cuts[np.searchsorted(cuts, at + least)]
+    # The last unit of a row reaches its end.
+    final = np.append(limit[1:] != limit[:-1], True) & (to < limit) if len(at) else np.zeros(0, bool)
+    return np.concatenate([at, at[final]]), np.concatenate([to, limit[final]])
+
+
+def _gone(units: list[dict]) -> list[tuple[int, int, int]]:
+    """Stretches under later units but under none that ranks first: begin, end, who keeps the first unit there."""
+    edges = sorted({x for u in units for x in (u["begin"], u["end"])})
+    number = {x: i for i, x in enumerate(edges)}
+    kept, later = np.zeros(len(edges) + 1, int), np.zeros(len(edges) + 1, int)
+    owner: dict[int, int] = {}
+    for u in sorted(units, key=lambda u: u["begin"]):
+        a, z = number[u["begin"]], number[u["end"]]
+        side = kept if u["stays"] else later
+        side[a] += 1
+        side[z] -= 1
+        if not u["stays"]:
+            owner[a] = u["first_doc_id"]
+    kept, later = np.cumsum(kept), np.cumsum(later)
+    out, who = [], 0
+    for i in range(len(edges) - 1):
+        who = owner.get(i, who)
+        if later[i] and not kept[i]:
+            if out and out[-1][1] == edges[i]:
+                out[-1] = (out[-1][0], edges[i + 1], out[-1][2])
+            else:
+                out.append((edges[i], edges[i + 1], who))
+    return out
+
+
+def _apply_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, t, _gone(u)) for i, t, u in zip(range(batch.num_rows), batch.column("text").to_pylist(), batch.column("units").to_pylist(), strict=True)]
+        rows = [r for r in rows if r[2]]
+        texts = ["".join(t[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(t)], strict=True)) for _, t, spans in rows]
+        lists = [pa.array([[s[k] for s in spans] for _, _, spans in rows], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array(texts, pa.string()), *lists], ["doc_id", "text", "begins", "ends", "kept_in"])
+
+
+def dedup_embedded(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """The documents that lose a passage wherever its lines break, without it: ``doc_id``, ``text``, and ``begins``, ``ends`` and ``kept_in``.
+
+    Any passage of ``least`` + 30 words or more that an earlier place has word for word is found, less 10 words at most at
+    the side where it is followed or preceded by other words, and somewhat more at its end. Separators behind a passage go with it.
+    Rows without a ``doc_id`` rank last; those with the same text are one document. ``kept_in`` of these is not an id.
+    """
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    docs = docs.where("text IS NOT NULL").select("doc_id", "text", key.alias("key"))
+    units = arrow_map(docs.select("key", "text"), _find_passages(least), "lane0 bigint, lane1 int, doc bigint, begin int, end int")
+    # One shuffle of the units and no copy of them; a digest's rows are sorted and streamed, never held together.
+    same = Window.partitionBy("lane0", "lane1").orderBy("doc", "begin")
+    first = F.first(F.struct("doc", "begin")).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = units.select("*", first.alias("first"), F.lead("doc").over(same).alias("next"), F.row_number().over(same).alias("rank")).where("rank > 1 OR next IS NOT NULL")
+    found = ranked.select("doc", F.struct("begin", "end", F.expr("doc = first.doc AND begin = first.begin").alias("stays"), F.col("first.doc").alias("first_doc_id")).alias("unit"))
+    own = found.groupBy("doc").agg(F.collect_set("unit").alias("units")).where("exists(units, u -> NOT u.stays)")
+    changed = docs.join(own, docs["key"] == own["doc"]).select("doc_id", "text", "units")
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("text string, begins array<int>, ends array<int>, kept_in array<bigint>").fields])
+    return arrow_map(changed, _apply_passages, schema)
+
+
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses a repeated passage, also one inside longer lines or across short ones: like ``op6_substring_dedup`` without its bounds."""
+    return dedup_embedded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 OP6_SQL = r"""
 WITH units AS (
   SELECT doc_id, ord, line, CAST(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - len(line) - 1 AS INTEGER) AS begin,

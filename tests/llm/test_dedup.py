@@ -115,6 +115,38 @@ def test_passages_of_odd_tables(spark):
     assert got == [("5", 1, [(2, 2 + n, 2)]), ("5", 1, [(2, 2 + n, 2)]), ("8", len(cases.LONG), [(len(cases.LONG) + 1, len(cases.LONG) + 1 + n, 2)]), ("None", 0, [(0, n, 2)])]
 
 
+def test_passages_inside_lines_and_across_short_ones(spark):
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    passages = [words(50 + k) for k in range(12)]
+    rows = [(1, "\n".join(" ".join(words(30) + p + words(9)) for p in passages))]
+    for k, p in enumerate(passages):
+        wrapped = "\n".join(" ".join(p[i : i + 7]) for i in range(0, len(p), 7))
+        rows += [(10 + k, " ".join(words(13)) + " " + wrapped + " " + " ".join(words(40))), (40 + k, " ".join(words(200)))]
+    copy = " ".join(words(33))
+    loop = " ".join(words(25) * 6)
+    rows += [(80, copy), (81, copy.upper()), (None, copy), (None, "other " + " ".join(words(40))), (90, loop), (91, None), (92, "")]
+    got = {r.doc_id: r for r in substring_dedup.dedup_embedded(cases.docs(spark, rows)).collect()}
+    assert set(got) == {*range(10, 22), 81, None, 90}
+    text = dict(rows[:-7]) | {80: copy, 81: copy.upper(), None: copy, 90: loop}
+    for i, r in got.items():
+        spans = list(zip(r.begins, r.ends, strict=True))
+        left = text[i]
+        for b, e in reversed(spans):
+            left = left[:b] + left[e:]
+        assert r.text == left
+        if i is not None and i < 80:
+            gone = [w for b, e in spans for w in text[i][b:e].split()]
+            assert len(gone) >= 20 and set(gone) <= set(passages[i - 10]) and r.kept_in == [1]
+    assert got[81].text == got[None].text == "" and set(got[90].text.split()) == set(loop.split()) and len(got[90].text.split()) <= 75
+    assert substring_dedup.dedup_embedded(cases.empty(spark)).count() == 0
+    odd = substring_dedup.dedup_embedded(cases.clashing(cases.odd(spark))).count()
+    assert odd == 0
+
+
 def near_copies(seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(4000)]
