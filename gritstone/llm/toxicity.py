@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     scores = np.concatenate([np.asarray(x, float) for x in held["scores"]])
     row = np.repeat(np.arange(len(held)), [len(x) for x in held["scores"]])
     top = np.concatenate([np.sort(scores)[::-1], [0.0]])
-    model = model._replace(bands=np.unique([0.0 if not len(scores) else top[0], *(top[min(int(r * n_units.sum()), len(scores))] for r in CLEAN_RATES)]))
+    model = model._replace(bands=bands_of(top, int(n_units.sum())))
     hits = model.by_band(row, scores, len(held))
     model = model._replace(rates=(hits.sum(axis=0) + 0.5) / (n_units.sum() + 1))
     worst = np.sort(model.evidence(hits, n_units))[::-1]
@@ -302,6 +302,15 @@ class Judge:
         return row[at], score[code[at]], names, code[at], np.bincount(row, minlength=len(column)).astype(float)
 
 
+def bands_of(top: np.ndarray, n_units: int) -> np.ndarray:
+    """Lower ends of the bands, from the scores above 0 of clean units in falling order, and 0 behind them.
+
+    The lowest band is the control, so there is one more at least: above all of ``top``, even where that has no score.
+    """
+    bands = np.unique([top[0], *(top[min(int(r * n_units), len(top) - 1)] for r in CLEAN_RATES)])
+    return bands if len(bands) > 1 else np.array([0.0, max(float(top[0]), 1e-9)])
+
+
 def _tally(docs: DataFrame, model: Model) -> DataFrame:
     """Scores in the bands and number of units of each document."""
     held = docs.sparkSession.sparkContext.broadcast(model)

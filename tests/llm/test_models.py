@@ -154,6 +154,17 @@ def test_without_labels_nothing_is_toxic(spark, sf_dir):
     assert toxicity.score(docs, None).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [40, 4])
+def test_toxicity_where_no_clean_unit_held_out_scores(spark, n_words):
+    rng = random.Random(n_words)
+    clean, slurs = ["".join(rng.choice("aeioulmn") for _ in range(6)) for _ in range(60)], ["zzqxjk", "kwvzqx", "xqvvzj", "jzkwqv"]
+    rows = [(k, " ".join([rng.choice(clean) for _ in range(n_words)] + (slurs if k % 2 else []))) for k in range(120)]
+    docs, labels = cases.docs(spark, rows), spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model.bands) > 1 and {r.doc_id for r in toxicity.score(docs, model).collect()} == set(range(1, 120, 2))
+    assert len(toxicity.bands_of(np.array([0.0]), 9_000)) == 2 and len(toxicity.bands_of(np.array([0.3, 0.1, 0.0]), 150)) == 2
+
+
 # -- personal data
 
 
