@@ -14,7 +14,8 @@ that several clean documents have are known to be harmless, whatever they resemb
 Some units tell more than others: a slur is proof, a word that resembles one may be chance in a long text.
 So on labelled documents that took no part in the fit, scores are cut into bands by how rarely
 clean text reaches them, and a document's evidence is the Poisson deviance of its own counts of different units from those rates. The
-threshold on the evidence is such that nearly all of those clean documents stay below.
+threshold on the evidence is such that nearly all of those clean documents stay below. Little abuse in a long document
+is told by its window of units with the most evidence, where repeats count; that has its own threshold, found alike. Either is enough.
 
 Scoring: units are made distinct in each slice and evaluated once a task, as far as its table reaches. The
 kernel with all landmarks is one sparse-to-dense product over the subsequences they share. Every document is scored, on its whole text, in one pass.
@@ -51,6 +52,7 @@ BENIGN = 40_000
 TELLING_EVIDENCE, TELLING_RATE = 8.0, 10.0
 LEAST_EVIDENCE = 4.0
 COST = 4.0
+WINDOW = 50
 CLEAN_SHARE = 0.9995
 _TABLE = 300_000
 _MARK = ord("^")
@@ -121,7 +123,7 @@ class Model(NamedTuple):
     """Landmarks with their weights: a unit's score is the bias plus the weighted kernel values.
 
     ``bands`` are lower ends of scores; ``rates`` has how often a unit of clean text falls into each band;
-    ``threshold`` is for the evidence.
+    ``threshold`` is for the evidence of a document, ``local`` for that of its worst window.
     """
 
     landmarks: tuple[bytes, ...]
@@ -132,6 +134,7 @@ class Model(NamedTuple):
     bands: np.ndarray
     rates: np.ndarray
     threshold: float
+    local: float = 0.0
 
     def by_band(self, row: np.ndarray, score: np.ndarray, rows: int) -> np.ndarray:
         """Counts of scores by row and band."""
@@ -140,20 +143,37 @@ class Model(NamedTuple):
         np.add.at(out, (row[band >= 0], band[band >= 0]), 1)
         return out
 
-    def evidence(self, hits: np.ndarray, n_units: np.ndarray) -> np.ndarray:
-        """Poisson deviance of each row's counts by band, where they are above what clean text has.
+    def control(self, hits: np.ndarray, n_units: np.ndarray) -> np.ndarray:
+        """How much more is expected of a row that has more in the lowest band than usual.
 
-        The lowest band is a control: a row with more of it than usual is written in words that resemble
-        telling ones (another language, say), so more is expected of it in the other bands too.
+        That band is a control: such a row is written in words that resemble telling ones (another language, say).
         """
-        expected = self.rates * n_units[:, None]
-        expected *= np.maximum(1, (hits[:, :1] + 2) / (expected[:, :1] + 2))
+        return np.maximum(1, (hits[:, 0] + 2) / (self.rates[0] * n_units + 2))
+
+    def evidence(self, hits: np.ndarray, n_units: np.ndarray, control: np.ndarray | None = None) -> np.ndarray:
+        """Poisson deviance of each row's counts by band, where they are above what clean text has."""
+        own = self.control(hits, n_units)
+        expected = self.rates * n_units[:, None] * (own if control is None else np.maximum(own, control))[:, None]
         more = hits > expected
         more[:, 0] = False
         out = np.zeros(hits.shape)
         out[more] = hits[more] * np.log(hits[more] / expected[more]) - hits[more] + expected[more]
         return out.sum(axis=1)
 
+    def worst_window(self, row: np.ndarray, score: np.ndarray, order: np.ndarray, hits: np.ndarray, n_units: np.ndarray) -> np.ndarray:
+        """The most evidence in any window of each row, from all scores in bands and the number of the unit in its row.
+
+        Windows begin every half window. The control is that of the row, or of the window if it is stronger.
+        """
+        out = np.zeros(len(n_units))
+        at = row.astype(np.int64) << 32 | (order // (WINDOW // 2)).astype(np.int64)
+        before = (at & 0xFFFFFFFF) > 0
+        window, code = np.unique(np.concatenate([at, at[before] - 1]), return_inverse=True)
+        own = window >> 32
+        counts = self.by_band(code, np.concatenate([score, score[before]]), len(window))
+        np.maximum.at(out, own, self.evidence(counts, np.minimum(n_units, WINDOW)[own], self.control(hits, n_units)[own]))
+        return out
+
     def scores(self, u: np.ndarray) -> np.ndarray:
         """Scores of units given as rows of bytes."""
         return self.index.values(u) ** POWER @ self.weights + self.bias
@@ -265,14 +285,25 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     n_units = held["n"].to_numpy(float)
     if not n_units.sum():
         return model
-    scores = np.concatenate([np.asarray(x, float) for x in held["scores"]])
-    row = np.repeat(np.arange(len(held)), [len(x) for x in held["scores"]])
+    every, order, number = (np.concatenate([np.asarray(x, kind) for x in held[c]]) for c, kind in (("scores", float), ("orders", np.int64), ("numbers", np.int64)))
+    rows = np.repeat(np.arange(len(held)), [len(x) for x in held["scores"]])
+    once = different(rows, number)
+    scores, row = every[once], rows[once]
     top = np.concatenate([np.sort(scores)[::-1], [0.0]])
     model = model._replace(bands=bands_of(top, int(n_units.sum())))
     hits = model.by_band(row, scores, len(held))
     model = model._replace(rates=(hits.sum(axis=0) + 0.5) / (n_units.sum() + 1))
-    worst = np.sort(model.evidence(hits, n_units))[::-1]
-    return model._replace(threshold=max(LEAST_EVIDENCE, float(worst[int((1 - CLEAN_SHARE) * len(worst))]) + 1e-3))
+    rank = int((1 - CLEAN_SHARE) * len(held))
+    # The bands have risen: what was tallied above 0 may lie below them now.
+    inside = every > model.bands[0]
+    found = model.evidence(hits, n_units), model.worst_window(rows[inside], every[inside], order[inside], hits, n_units)
+    threshold, local = (max(LEAST_EVIDENCE, float(np.sort(x)[::-1][rank]) + 1e-3) for x in found)
+    return model._replace(threshold=threshold, local=local)
+
+
+def different(row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Places of the first of each different unit in each row."""
+    return np.unique(row.astype(np.int64) << 32 | number, return_index=True)[1]
 
 
 class Judge:
@@ -281,9 +312,9 @@ class Judge:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Row and score of each different unit of a row in a band, the units with their numbers, and the number of units of each row."""
-        body, start, end, row, _ = units(column)
+    def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Row and score of each unit in a band, all units' bytes, the unit's number among them and in its row, and the number of units of each row."""
+        body, start, end, row, place = units(column)
         rows, code = distinct_units(body, start, end)
         names = np.ascontiguousarray(rows).view(f"S{WIDTH}").ravel().tolist()
         known = self.known
@@ -297,9 +328,9 @@ class Judge:
                 if len(known) < _TABLE:
                     known[names[i]] = float(score[i])
         at = np.flatnonzero(score[code] > self.model.bands[0])
-        # A unit that a document repeats counts once: a word said a hundred times is one piece of evidence.
-        at = at[np.unique(row[at] * np.int64(len(rows) + 1) + code[at], return_index=True)[1]]
-        return row[at], score[code[at]], names, code[at], np.bincount(row, minlength=len(column)).astype(float)
+        total = np.bincount(row, minlength=len(column))
+        order = np.searchsorted(np.sort(place), place[at]) - (np.cumsum(total) - total)[row[at]]
+        return row[at], score[code[at]], names, code[at], order, total.astype(float)
 
 
 def bands_of(top: np.ndarray, n_units: int) -> np.ndarray:
@@ -318,12 +349,13 @@ def _tally(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in slices(batches, "text"):
-            row, value, _, _, n = judge.hits(batch.column("text"))
+            row, value, _, number, place, n = judge.hits(batch.column("text"))
             order = np.argsort(row, kind="stable")
-            off = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(value[order])), pa.array(n)], ["scores", "n"])
+            off = pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(x[order])) for x in (value, place.astype(np.int64), number.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array(n)], ["scores", "orders", "numbers", "n"])
 
-    return arrow_map(docs.select("text"), run, "scores array<double>, n double")
+    return arrow_map(docs.select("text"), run, "scores array<double>, orders array<bigint>, numbers array<bigint>, n double")
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -336,12 +368,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(held.value)
         for batch in slices(batches, "text"):
-            row, value, names, number, total = judge.hits(batch.column("text"))
-            hits = judge.model.by_band(row, value, batch.num_rows)
+            row, value, names, number, place, total = judge.hits(batch.column("text"))
+            once = different(row, number)
+            hits = judge.model.by_band(row[once], value[once], batch.num_rows)
             evidence = judge.model.evidence(hits, total)
+            local = judge.model.worst_window(row, value, place, hits, total)
+            toxic = (evidence > judge.model.threshold) | (local > judge.model.local)
+            evidence = np.maximum(evidence, local)
             worst = np.lexsort((number, -value, row))
             first = worst[np.concatenate([[True], row[worst][1:] != row[worst][:-1]])] if len(worst) else worst
-            first = first[evidence[row[first]] > judge.model.threshold]
+            first = first[toxic[row[first]]]
             n = hits.sum(axis=1)[row[first]].astype(np.int32)
             terms = [names[i][1:].decode(errors="replace") for i in number[first]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[first])), pa.array(evidence[row[first]]), pa.array(n), pa.array(terms, pa.string())], ["doc_id", "score", "n_units", "unit"])

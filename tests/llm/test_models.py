@@ -147,6 +147,22 @@ def test_toxicity_on_documents_held_out(spark, mid_dir):
     assert sorted(str(r.doc_id) for r in toxicity.score(twice, model).collect()) == ["5", "5", "6", "None"]
 
 
+def test_little_abuse_in_long_documents(spark, mid_dir):
+    labels = read(spark, mid_dir, "labels")
+    docs = read(spark, mid_dir, "documents").where("n_chars < 2500").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).persist()
+    model = toxicity.train(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(400).collect()]
+    words = " ".join(clean).split(" ")[:20_000]
+
+    def put(into, *what):
+        return " ".join([*into[: len(into) // 2], *what, *into[len(into) // 2 :]])
+
+    many, some = words * 4, words[:4_000]
+    rows = [(0, put(many)), (1, put(many, "idiot", "moron")), (2, " ".join(w for k, x in enumerate(some) for w in ([x, "idxiot"] if k % 20 == 0 else [x]))), (3, put(some))]
+    got = {r.doc_id for r in toxicity.score(cases.docs(spark, rows), model).collect()}
+    assert got == {1, 2}
+
+
 def test_without_labels_nothing_is_toxic(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     for none in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
