@@ -210,6 +210,22 @@ def test_windows_do_not_change_what_is_found():
     assert not any("order" in texts[r][max(0, b - 7) : b] or "version" in texts[r][max(0, b - 9) : b] for r, b, _, _ in got)
 
 
+def test_secrets_without_a_digit():
+    rng = random.Random(5)
+    secrets = ["".join(rng.choice(string.ascii_letters) for _ in range(rng.randint(20, 40))) for _ in range(60)]
+    filler = "some wörds of plain text that go on for long enough to be far away from anything else here "
+    texts = [f'{filler}{rng.choice(["api_key", "password", "token", "secret"])} = "{s}" {filler}' for s in [*secrets, "qWsdFgHjKlZxCvBnMpQrTyUi"]]
+    texts += [filler + "a " + x + " " + filler for x in ("Donaudampfschifffahrtsgesellschaft", "=" * 40, "-" * 30, "internationalization", "state-of-the-art-methods", "dead:beef:cafe:babe:fade:deaf:face:bead")]
+    buf, off = pii.text_buffer(pa.array(texts))
+    row, begin, end = pii._windows(buf, off)
+    inside = {(r, s.begin + len(texts[r].encode()[: b - off[r]].decode())) for r, b, e in zip(row, begin, end, strict=True) for s in pii.candidates(buf.tobytes()[b:e].decode())}
+    assert inside == {(i, s.begin) for i, t in enumerate(texts) for s in pii.candidates(t)} and {i for i, _ in inside} == set(range(len(texts)))
+    s = pii.find(pii.detector(), pa.array(texts))
+    found = [texts[r][b:e] for r, b, e in zip(s["row"], s["begin"], s["end"], strict=True) if r <= 60]
+    assert len({*secrets, "qWsdFgHjKlZxCvBnMpQrTyUi"} & set(found)) >= 58
+    assert not [r for r in s["row"] if 61 <= r <= 65]
+
+
 def test_personal_data_of_examples_held_out():
     spans, labels = pii._examples(31_337, 6_000)
     model, y = pii.detector(), np.array(labels)
