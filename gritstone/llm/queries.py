@@ -10,7 +10,6 @@ QUERIES = {
     "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
-    "op6_passage_dedup": substring_dedup.op6_passage_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
     "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -20,6 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
-    "op6_passage_dedup": substring_dedup.op6_passage_dedup,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
 }

@@ -14,6 +14,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -44,6 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def integer_ids(df: DataFrame, column: str) -> None:
+    """Refuse a table whose ids aren't integers: operators that rank or link rows hold ids as 64-bit numbers."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{column} must be of an integer type, not {kind.simpleString()}; map other ids to numbers first")
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI, for use inside tasks."""
     if uri.startswith("file:"):

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gritstone.llm import components, line_dedup, mphf, near_dedup, substring_dedup
 from gritstone.llm.queries import ORACLE_SQL, QUERIES
@@ -78,41 +79,68 @@ def test_line_dedup_of_odd_tables(spark):
     assert got == [("3", "Same, line here!"), ("9", "more of it"), ("9", "more of it"), ("None", "")]
 
 
-def test_passages_against_brute_force(spark):
-    rows = texts(2)
-    first, want = {}, defaultdict(list)
-    for i, t in rows:
-        at = 0
-        for line in t.split("\n") if t else []:
-            k = key(line)
-            if len(k.split()) >= 5:
-                if k in first:
-                    want[i].append((at, at + len(line), *first[k]))
-                else:
-                    first[k] = (i, at)
-            at += len(line) + 1
-    spans = substring_dedup.repeated_spans(cases.docs(spark, rows), 5).collect()
-    got = defaultdict(list)
-    for r in spans:
-        got[r.doc_id].append((r.begin, r.end, r.first_doc_id, r.first_begin))
-    assert {k: sorted(v) for k, v in got.items()} == dict(want)
-    lookup = dict(rows)
-    for r in substring_dedup.dedup_passages(cases.docs(spark, rows), 5).collect():
-        gone = [lookup[r.doc_id][s.begin : s.end] for s in r.removed]
-        left = lookup[r.doc_id].split("\n")
-        for g in gone:
-            left.remove(g)
-        assert sorted(r.text.split("\n") if r.text or left else []) == sorted(left)
+WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+
+
+def brute_passages(rows, least, near):
+    """What each document loses, told word by word: character spans and who keeps them."""
+    words = {i: [(m.group(), *m.span()) for m in WORD.finditer(t.lower())] for i, t in rows}
+    units, first = {}, {}
+    for i in sorted(words):
+        w = [x[0].encode() for x in words[i]]
+        cuts = {0, len(w)} | {max(range(k, k + near), key=lambda j: (min(255, len(w[j])), w[j][:7], -j)) for k in range(len(w) - near + 1)}
+        starts = [c for c in sorted(cuts) if c + least <= len(w)]
+        units[i] = {(c, min(z for z in cuts if z >= c + least)) for c in starts} | {(c, len(w)) for c in starts[-1:]}
+        for a, z in sorted(units[i]):
+            first.setdefault(tuple(w[a:z]), (i, a))
+    out = {}
+    for i, own in units.items():
+        w = [x[0].encode() for x in words[i]]
+        stays = {k for a, z in own if first[tuple(w[a:z])] == (i, a) and sum(tuple(w[a:z]) == tuple(x[0].encode() for x in words[j][b:e]) for j in units for b, e in units[j]) > 1 for k in range(a, z)}
+        later = [(a, z, first[tuple(w[a:z])][0]) for a, z in own if first[tuple(w[a:z])] != (i, a)]
+        goes = sorted({k for a, z, _ in later for k in range(a, z)} - stays)
+        spans = []
+        for k in goes:
+            if spans and spans[-1][1] == k:
+                spans[-1][1] = k + 1
+            else:
+                spans.append([k, k + 1])
+        place = [x[1] for x in words[i]] + [words[i][-1][2] if w else 0]
+        if spans:
+            out[i] = [(place[a], place[z], min(o for x, y, o in later if x < z and a < y)) for a, z in spans]
+    return out
+
+
+def lost(rows):
+    return {r.doc_id: list(zip(r.begins, r.ends, r.kept_in, strict=True)) for r in rows}
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_passages_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("the of and tion, ther. ing é ß ñandú a Ünder whatever".split()) for _ in range(rng.randint(0, 30))) for _ in range(25)]
+    rows = [(i, rng.choice(["", "- ", "\n"]) + rng.choice(["\n", " ", ". "]).join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(50)]
+    rows += [(60, "x " * 90), (61, "y x " * 50 + "z")]
+    want = brute_passages(rows, 9, 5)
+    got = substring_dedup.dedup_passages(cases.docs(spark, rows), 9, 5).collect()
+    assert lost(got) == want and len(want) > 20 and any(len(v) > 1 for v in want.values())
+    for r in got:
+        left = dict(rows)[r.doc_id]
+        for b, e in reversed(list(zip(r.begins, r.ends, strict=True))):
+            left = left[:b] + left[e:]
+        assert r.text == left
 
 
 def test_passages_of_odd_tables(spark):
-    assert substring_dedup.dedup_passages(cases.clashing(cases.odd(spark)), 2).count() == 0
     assert substring_dedup.dedup_passages(cases.empty(spark)).count() == 0
-    line = " ".join(f"é{k}" for k in range(25))
-    rows = [(5, f"x\n{line}"), (None, line.upper()), (5, f"x\n{line}"), (2, f"head\n{line}\ntail"), (8, cases.LONG + "\n" + line)]
-    got = sorted((str(r.doc_id), len(r.text), [(s.begin, s.end, s.first_doc_id) for s in r.removed]) for r in substring_dedup.dedup_passages(cases.docs(spark, rows)).collect())
-    n = len(line)
-    assert got == [("5", 1, [(2, 2 + n, 2)]), ("5", 1, [(2, 2 + n, 2)]), ("8", len(cases.LONG), [(len(cases.LONG) + 1, len(cases.LONG) + 1 + n, 2)]), ("None", 0, [(0, n, 2)])]
+    assert substring_dedup.dedup_passages(cases.clashing(cases.odd(spark))).count() == 0
+    copy = " ".join(f"é{k}" for k in range(25))
+    rows = [(5, f"x {copy}"), (None, copy.upper()), (5, f"y\n\n{copy}!"), (2, f"{copy}\ntail"), (8, cases.LONG + "\n" + copy), (None, cases.LONG.upper())]
+    got = sorted((str(r.doc_id), r.text, r.kept_in) for r in substring_dedup.dedup_passages(cases.docs(spark, rows), 9, 5).collect())
+    assert [g[0] for g in got] == ["5", "5", "8", "None", "None"] and {tuple(g[2]) for g in got} <= {(2,), (8,)}
+    assert all(len(g[1]) < len(copy) for g in got[:2]) and len(cases.LONG) < len(got[2][1]) < len(cases.LONG) + len(copy) and all(len(g[1]) < 100 for g in got[3:])
+    with pytest.raises(TypeError, match="doc_id must be of an integer type"):
+        substring_dedup.dedup_passages(cases.docs(spark, rows).withColumn("doc_id", F.concat(F.lit("urn:"), "doc_id")))
 
 
 def test_passages_inside_lines_and_across_short_ones(spark):
@@ -121,30 +149,16 @@ def test_passages_inside_lines_and_across_short_ones(spark):
     def words(n):
         return [f"w{rng.randrange(5000)}" for _ in range(n)]
 
-    passages = [words(50 + k) for k in range(12)]
+    passages = [words(51 + k % 30) for k in range(60)]
     rows = [(1, "\n".join(" ".join(words(30) + p + words(9)) for p in passages))]
     for k, p in enumerate(passages):
         wrapped = "\n".join(" ".join(p[i : i + 7]) for i in range(0, len(p), 7))
-        rows += [(10 + k, " ".join(words(13)) + " " + wrapped + " " + " ".join(words(40))), (40 + k, " ".join(words(200)))]
-    copy = " ".join(words(33))
-    loop = " ".join(words(25) * 6)
-    rows += [(80, copy), (81, copy.upper()), (None, copy), (None, "other " + " ".join(words(40))), (90, loop), (91, None), (92, "")]
-    got = {r.doc_id: r for r in substring_dedup.dedup_embedded(cases.docs(spark, rows)).collect()}
-    assert set(got) == {*range(10, 22), 81, None, 90}
-    text = dict(rows[:-7]) | {80: copy, 81: copy.upper(), None: copy, 90: loop}
+        rows += [(100 + k, " ".join(words(13)) + " " + wrapped + " " + " ".join(words(40))), (200 + k, " ".join(words(200)))]
+    got = {r.doc_id: r for r in substring_dedup.dedup_passages(cases.docs(spark, rows)).collect()}
+    assert set(got) == set(range(100, 160))
     for i, r in got.items():
-        spans = list(zip(r.begins, r.ends, strict=True))
-        left = text[i]
-        for b, e in reversed(spans):
-            left = left[:b] + left[e:]
-        assert r.text == left
-        if i is not None and i < 80:
-            gone = [w for b, e in spans for w in text[i][b:e].split()]
-            assert len(gone) >= 20 and set(gone) <= set(passages[i - 10]) and r.kept_in == [1]
-    assert got[81].text == got[None].text == "" and set(got[90].text.split()) == set(loop.split()) and len(got[90].text.split()) <= 75
-    assert substring_dedup.dedup_embedded(cases.empty(spark)).count() == 0
-    odd = substring_dedup.dedup_embedded(cases.clashing(cases.odd(spark))).count()
-    assert odd == 0
+        gone = [w for b, e in zip(r.begins, r.ends, strict=True) for w in dict(rows)[i][b:e].split()]
+        assert len(gone) >= 20 and set(gone) <= set(passages[i - 100]) and r.kept_in == [1]
 
 
 def near_copies(seed):
