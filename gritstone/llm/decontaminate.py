@@ -3,8 +3,9 @@
 Fixed masks say which positions of a token window count. Windows of benchmark items and of documents are
 hashed under every mask, so a window still matches where tokens at ignored positions were replaced.
 Document windows are looked up in the sorted benchmark hashes, behind a bitmap. Around each hit the item
-is laid along the document and compared token by token: an overlap is kept where some stretch of
-``window`` tokens (or the whole item, if shorter) agrees in ``min_match`` of its tokens at least.
+is laid along the document and compared token by token: a stretch of ``window`` tokens (or the whole item, if
+shorter) overlaps where ``min_match`` of its tokens agree at least. Stretches that touch are one overlap; those apart are
+several. Where an item can be laid along a place in several ways, the one that agrees in most tokens is reported.
 
 The benchmark's hashes go to the workers as one broadcast, and their size is checked first: beyond
 ``pass_bytes`` of benchmark text the items are split, and each part is one more pass over the documents.
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from .shared import arrow_map
 from .text import Words, char_offsets, lowered, runs, slices, text_buffer, words
 
-MASKS = ("11111", "110111", "1101011", "10110011")
+#: Of any twelve tokens of which nine agree, wherever the three others are, one of these masks sees a stretch that agrees.
+MASKS = ("11111", "110111", "101000111", "101001011")
 WINDOW = 12
 MIN_MATCH = 0.75
 PASS_BYTES = 64 << 20
@@ -86,20 +88,36 @@ def make_seeds(ids: pa.Array, texts: pa.Array, masks: tuple[str, ...] = MASKS, w
     return Seeds(h[order], item[order], at[order], w.hash, w.first, ids, bitmap, 64 - bits, masks, window, min_match)
 
 
-def _candidates(seeds: Seeds, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item and offset of the item's first token against the row's, one of each that has a hit."""
+def _hits(seeds: Seeds, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token of the document, first seed and number of seeds for each window that the benchmark has."""
     found = []
-    row = w.row
     for number, mask in enumerate(seeds.masks):
         at, h = _windows(w, mask, number)
         at = at[seeds.bitmap[(h[at] >> np.uint64(seeds.shift)).astype(np.int64)]]
-        lo, hi = np.searchsorted(seeds.hash, h[at], "left"), np.searchsorted(seeds.hash, h[at], "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        which = runs(n, lo)
-        at = np.repeat(at, n)
-        found.append(np.stack([row[at], seeds.item[which], at - w.first[row[at]] - seeds.at[which]]))
-    return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+        lo = np.searchsorted(seeds.hash, h[at], "left")
+        n = np.searchsorted(seeds.hash, h[at], "right") - lo
+        found.append(np.stack([at, lo, n])[:, n > 0])
+    found = np.concatenate(found, axis=1)
+    return tuple(found[:, np.argsort(found[0], kind="stable")])
+
+
+def _candidates(seeds: Seeds, w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, item and offset of the item's first token against the row's, a bounded number at a time.
+
+    One of each is given, or a few more where a seed has more items than that bound.
+    """
+    at, lo, n = _hits(seeds, w)
+    row = np.searchsorted(w.first, at, "right") - 1
+    total = np.cumsum(n)
+    begin = 0
+    while begin < (total[-1] if len(total) else 0):
+        end = min(begin + _CHUNK, int(total[-1]))
+        i, j = np.searchsorted(total, begin, "right"), np.searchsorted(total, end, "left") + 1
+        first = np.maximum(begin - (total[i:j] - n[i:j]), 0)
+        size = np.minimum(total[i:j], end) - (total[i:j] - n[i:j]) - first
+        which, of = runs(size, lo[i:j] + first), np.repeat(np.arange(i, j), size)
+        yield tuple(np.unique(np.stack([row[of], seeds.item[which], at[of] - w.first[row[of]] - seeds.at[which]]), axis=1))
+        begin = end
 
 
 def _verified(seeds: Seeds, w: Words, row: np.ndarray, item: np.ndarray, diff: np.ndarray) -> dict[str, np.ndarray]:
@@ -123,29 +141,48 @@ def _verified(seeds: Seeds, w: Words, row: np.ndarray, item: np.ndarray, diff: n
     good = (total[z] - total[a] >= need[of[a]]) & (whole[z] - whole[a] == size[of[a]])
     a, z = a[good], z[good]
     owner = of[a]
-    which, first = np.unique(owner, return_index=True)
-    last = np.append(first[1:], len(owner))[: len(first)] - 1
-    lo, hi = a[first], z[last]
+    # Windows that overlap or touch are one stretch.
+    new = np.ones(len(a), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (a[1:] > z[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(a)) - 1 if len(a) else first
+    which, lo, hi = owner[first], a[first], z[last]
     return {"which": which, "agree": total[hi] - total[lo], "lo": lo - begin[which] + diff[which], "hi": hi - begin[which] + diff[which]}
 
 
+def _best(r: np.ndarray, i: np.ndarray, agree: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of the stretches of each row and item, those that agree in most tokens; none overlaps a better one."""
+    order = np.lexsort((lo, hi - lo, -agree, i, r))
+    same = np.zeros(len(order), bool)
+    same[1:] = (r[order][1:] == r[order][:-1]) & (i[order][1:] == i[order][:-1])
+    kept = ~same
+    # Most rows have one stretch of an item; the others are looked at one by one.
+    taken: list[tuple[int, int]] = []
+    for k in np.flatnonzero(same):
+        if not same[k - 1]:
+            taken = [(lo[order[k - 1]], hi[order[k - 1]])]
+        b, e = lo[order[k]], hi[order[k]]
+        if all(e <= x or y <= b for x, y in taken):
+            taken.append((b, e))
+            kept[k] = True
+    return order[kept]
+
+
 def overlaps(seeds: Seeds, column: pa.Array) -> dict[str, np.ndarray]:
-    """The best overlap of each row and item that have one: row, item, tokens that agree, length, character offsets."""
+    """The overlaps of each row and item that have any: row, item, tokens that agree, length, character offsets."""
     buf, off = text_buffer(lowered(column))
     w = words(buf, off)
-    row, item, diff = _candidates(seeds, w)
-    parts = []
-    sizes = np.cumsum(np.diff(seeds.first)[item]) if len(item) else np.zeros(0, np.int64)
-    at = 0
-    while at < len(row):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _CHUNK, "right")))
-        v = _verified(seeds, w, row[at:to], item[at:to], diff[at:to])
-        parts.append(np.stack([row[at:to][v["which"]], item[at:to][v["which"]], v["agree"], v["lo"], v["hi"]]))
-        at = to
-    r, i, agree, lo, hi = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
-    order = np.lexsort((lo, -agree, i, r))
-    r, i, agree, lo, hi = (x[order] for x in (r, i, agree, lo, hi))
-    best = np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])]) if len(r) else np.zeros(0, bool)
+    parts = [np.zeros((5, 0), np.int64)]
+    for row, item, diff in _candidates(seeds, w):
+        sizes = np.cumsum(np.diff(seeds.first)[item])
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _CHUNK, "right")))
+            v = _verified(seeds, w, row[at:to], item[at:to], diff[at:to])
+            parts.append(np.stack([row[at:to][v["which"]], item[at:to][v["which"]], v["agree"], v["lo"], v["hi"]]))
+            at = to
+    r, i, agree, lo, hi = np.concatenate(parts, axis=1)
+    best = _best(r, i, agree, lo, hi)
     r, i, agree, lo, hi = (x[best] for x in (r, i, agree, lo, hi))
     begin, end = w.start[w.first[r] + lo], w.end[w.first[r] + hi - 1]
     return {"row": r, "item": i, "agree": agree, "length": hi - lo, "begin": char_offsets(buf, off, r, begin), "end": char_offsets(buf, off, r, end)}
@@ -164,7 +201,7 @@ def _passes(benchmark: DataFrame, pass_bytes: int, **settings) -> Iterator[Seeds
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, min_match: float = MIN_MATCH, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """One row for each document and benchmark item that overlap.
+    """One row for each overlap of a document and a benchmark item; two places of one item are two rows.
 
     Columns: ``doc_id``, ``item_id``, ``n_agree`` (equal tokens), ``n_tokens`` (length of the overlap),
     ``begin`` and ``end`` (its character offsets in the document).
