@@ -5,16 +5,17 @@ products. Centroids start from the vectors with the smallest hashes and are refi
 all vectors; only sums a cell come to the driver.
 
 A vector is compared, as a query, in its nearest cell. So that partners across a border meet, it is also
-a candidate in every other cell whose centroid is nearly as close: within ``reach`` standard deviations of
-how far two vectors at the threshold may differ along a random direction. That is approximate on purpose
-(recall is measured in the tests); within a cell everything is compared. Cells with many vectors
-are split into blocks, and each pair of blocks is a piece of work of its own.
+a candidate in every other cell that is nearly as close: within ``reach`` standard deviations of how far two vectors at the
+threshold differ along the line between the two centroids, if their difference has a random direction. As either of two partners may be the
+one nearer to the border, a reach of 1.25 loses no more than 2.5 of the sum's deviations do, about one pair in eighty at the threshold
+itself. That is approximate on purpose (recall is measured in the tests); within a cell everything is compared. Cells with many
+vectors are split into blocks, and each pair of blocks is a piece of work of its own.
 
 Groups are the connected components of the pairs at ``min_cosine`` or more; the smallest ``vec_id`` stays.
 
 Defined results for odd input: a vector that is null, has a null, NaN or infinite element, is all zeros, or
 is not as long as most are, has no partner; neither has one without ``vec_id``. Rows with the same
-``vec_id`` are the same vector. Length doesn't matter, only direction. An empty table gives an empty one.
+``vec_id`` are the same vector; a ``vec_id`` that is no integer is refused. Length doesn't matter, only direction. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import ONE_TASK_EDGES, components, label_edges, starts_of, whole_runs
-from .shared import arrow_map, stored
+from .shared import arrow_map, integer_ids, stored
 from .text import runs
 
 MIN_COSINE = 0.9
 ITERATIONS = 4
-REACH = 2.5
+REACH = 1.25
 BLOCK_ROWS = 4096
 
 
@@ -113,7 +114,39 @@ def fit_cells(units: DataFrame, cells: int, iterations: int = ITERATIONS) -> np.
     return c
 
 
-def _places(held, margin: float):
+def cells_of(x: np.ndarray, centroids: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and cell of each vector's places, and whether it is its own cell.
+
+    Another cell is a place where the own centroid is closer by no more than ``slack`` times the two centroids' distance.
+    """
+    s = x @ centroids.T
+    best = s.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centroids[best] @ centroids.T)))
+    row, cell = np.nonzero(s.max(axis=1, keepdims=True) - s <= slack * apart)
+    own = best[row] == cell
+    rest = ~own
+    # The own cell comes first and once, also where two centroids are the same.
+    return np.concatenate([np.arange(len(x)), row[rest]]), np.concatenate([best, cell[rest]]), np.arange(len(x) + int(rest.sum())) < len(x)
+
+
+def _count_places(held, slack: float):
+    """How many vectors have each cell as their own, and as a place at all, by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = held.value
+        counts = np.zeros((2, len(c)), np.int64)
+        for batch in batches:
+            x = _rows(batch)
+            for i in range(0, len(x), 512):
+                _, cell, home = cells_of(x[i : i + 512], c, slack)
+                counts += [np.bincount(cell[home], minlength=len(c)), np.bincount(cell, minlength=len(c))]
+        used = np.flatnonzero(counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(n[used]) for n in counts)], ["cell", "home", "n"])
+
+    return run
+
+
+def _places(held, slack: float):
     """Each vector's cells: its own (as query and candidate) and those nearly as close (as candidate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +154,8 @@ def _places(held, margin: float):
         for batch in batches:
             ids, x = batch.column("vec").to_numpy(), _rows(batch)
             for i in range(0, len(x), 512):
-                s = x[i : i + 512] @ c.T
-                best = s.argmax(axis=1)
-                near = s >= s.max(axis=1, keepdims=True) - margin
-                row, cell = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[i + row]), pa.array(best[row] == cell), _pack(x[i + row])], ["cell", "vec", "home", "unit"])
+                row, cell, home = cells_of(x[i : i + 512], c, slack)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(ids[i + row]), pa.array(home), _pack(x[i + row])], ["cell", "vec", "home", "unit"])
 
     return run
 
@@ -180,6 +210,7 @@ def _compare(min_cosine: float):
 def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, cells: int | None = None, iterations: int = ITERATIONS, reach: float = REACH, block_rows: int = BLOCK_ROWS, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """``(vec_id, duplicate_of)``: each vector that isn't its group's representative, with that one."""
     spark = vectors.sparkSession
+    integer_ids(vectors, "vec_id")
     named = vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL AND size(embedding) > 0")
     lengths = named.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not lengths:
@@ -190,9 +221,9 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, c
         return spark.createDataFrame([], "vec_id bigint, duplicate_of bigint")
     centroids = fit_cells(units, cells or math.ceil(math.sqrt(n)), iterations)
     held = spark.sparkContext.broadcast(centroids)
-    margin = reach * math.sqrt(2 * (1 - min_cosine)) * math.sqrt(2 / dim)
-    placed = arrow_map(units, _places(held, margin), "cell bigint, vec bigint, home boolean, unit binary")
-    counts = placed.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("home"), F.count("*").alias("n")).collect()
+    slack = reach * math.sqrt(2 * (1 - min_cosine)) / math.sqrt(dim)
+    placed = arrow_map(units, _places(held, slack), "cell bigint, vec bigint, home boolean, unit binary")
+    counts = arrow_map(units, _count_places(held, slack), "cell bigint, home bigint, n bigint").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("n").alias("n")).collect()
     sizes = np.zeros((2, len(centroids)), np.int64)
     for r in counts:
         sizes[:, r.cell] = r.home, r.n

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,21 +15,16 @@ from . import cases
 
 
 def brute_overlaps(docs, items, window, min_match):
-    """Item and document laid along each other at every offset that has a hit under some mask."""
+    """Item and document laid along each other at every offset; without any seeds."""
     out = set()
     for i, text in docs:
         a = (text or "").lower().split()
         for k, item in items:
             b = (item or "").lower().split()
+            w = min(window, len(b))
             for shift in range(-len(b), len(a)):
                 same = [0 <= q + shift < len(a) and a[q + shift] == b[q] for q in range(len(b))]
-                seeded = any(
-                    all(same[q + j] for j, bit in enumerate(m) if bit == "1") and q + shift + len(m) <= len(a) and q + shift >= 0
-                    for m in decontaminate.MASKS for q in range(len(b) - len(m) + 1)
-                )
-                w = min(window, len(b))
-                good = any(sum(same[q : q + w]) >= min_match * w - 1e-9 and q + shift >= 0 and q + shift + w <= len(a) for q in range(len(b) - w + 1))
-                if seeded and good:
+                if any(sum(same[q : q + w]) >= min_match * w - 1e-9 and q + shift >= 0 and q + shift + w <= len(a) for q in range(len(b) - w + 1)):
                     out.add((i, k))
     return out
 
@@ -55,15 +51,45 @@ def test_overlaps_against_brute_force(spark, pass_bytes):
     docs, items = leaks(1)
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontaminate.find_overlaps(cases.docs(spark, docs), bench, pass_bytes=pass_bytes).collect()
-    want = brute_overlaps(docs, items, decontaminate.WINDOW, decontaminate.MIN_MATCH)
-    assert {(r.doc_id, r.item_id) for r in out} == want and len(out) == len(want) > 15
+    found = {(r.doc_id, r.item_id) for r in out}
+    every = brute_overlaps(docs, items, decontaminate.WINDOW, decontaminate.MIN_MATCH)
+    # Items of a window and more are all found; shorter ones with a replaced token may have no stretch that a mask sees.
+    long = {k for k, t in items if len(t.split()) >= decontaminate.WINDOW}
+    want = {(i, k) for i, k in every if k in long}
+    assert {(i, k) for i, k in found if k in long} == want and len(want) > 15
+    assert found <= every and len(found) >= 0.8 * len(every)
     text = dict(docs)
     for r in out:
-        assert len(text[r.doc_id][r.begin : r.end].split()) == r.n_tokens >= r.n_agree
+        assert len(text[r.doc_id][r.begin : r.end].split()) == r.n_tokens >= r.n_agree >= 0.6 * r.n_tokens
+    want = found
     left = decontaminate.drop_contaminated(cases.clashing(cases.docs(spark, docs)), bench, pass_bytes=pass_bytes)
     assert {r.doc_id for r in left.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_three_of_twelve_tokens_may_differ_anywhere():
+    item = [f"t{k}" for k in range(12)]
+    seeds = decontaminate.make_seeds(pa.array([0]), pa.array([" ".join(item)]))
+    texts = [" ".join("other" if k in gone else t for k, t in enumerate(item)) for gone in combinations(range(12), 3)]
+    assert sorted(set(decontaminate.overlaps(seeds, pa.array(texts))["row"].tolist())) == list(range(len(texts)))
+
+
+def test_stretches_apart_are_overlaps_of_their_own(spark):
+    item = [f"t{k}" for k in range(60)]
+    text = " ".join(["x", *item[:15], *(f"o{k}" for k in range(30)), *item[45:], "y"])
+    rows = decontaminate.find_overlaps(cases.docs(spark, [(1, text)]), spark.createDataFrame([(4, " ".join(item))], "item_id long, text string")).orderBy("begin").collect()
+    assert len(rows) == 2 and all(r.n_agree >= 0.75 * r.n_tokens and 15 <= r.n_tokens <= 18 for r in rows)
+    assert {"t0", "t14"} <= set(text[rows[0].begin : rows[0].end].split()) and {"t45", "t59"} <= set(text[rows[1].begin : rows[1].end].split())
+
+
+def test_seeds_of_many_items_are_looked_up_in_parts(monkeypatch):
+    items = [f"what is the answer to this question number {k}" for k in range(300)]
+    seeds = decontaminate.make_seeds(pa.array(range(300)), pa.array(items))
+    docs = pa.array(["and what is the answer to this question number 7", "what is the answer to this question number 8 what is"])
+    whole = {k: v.tolist() for k, v in decontaminate.overlaps(seeds, docs).items()}
+    monkeypatch.setattr(decontaminate, "_CHUNK", 50)
+    assert {k: v.tolist() for k, v in decontaminate.overlaps(seeds, docs).items()} == whole and len(whole["row"]) == 600
+
+
 def test_substitutions_are_tolerated(spark):
     rng = random.Random(3)
     items = [(k, " ".join(f"u{rng.randrange(10_000)}" for _ in range(30))) for k in range(100)]
@@ -111,6 +137,25 @@ def test_vectors_against_all_pairs(spark, n, clusters, block_rows):
     assert embedding_dedup.drop_near_duplicate_vectors(t, min_cosine=0.97).count() == n - len(embedding_dedup.near_duplicate_vectors(t, 0.97).collect())
 
 
+def test_few_copies_and_high_recall_of_uniform_vectors():
+    rng = np.random.default_rng(3)
+    b, e = (rng.normal(size=(4000, 64)) for _ in range(2))
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    e -= (e * b).sum(axis=1, keepdims=True) * b
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    x = np.concatenate([b, 0.905 * b + (1 - 0.905**2) ** 0.5 * e]).astype(np.float32)
+    row, cell, home = embedding_dedup.cells_of(x, x[rng.permutation(8000)[:90]], embedding_dedup.REACH * 0.2**0.5 / 8)
+    own, places = np.empty(8000, int), set(zip(row.tolist(), cell.tolist(), strict=True))
+    own[row[home]] = cell[home]
+    met = [(k, own[k + 4000]) in places or (k + 4000, own[k]) in places for k in range(4000)]
+    assert len(row) <= 4 * 8000 and np.mean(met) > 0.97 and len(places) == len(row)
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError, match="vec_id must be of an integer type"):
+        embedding_dedup.near_duplicate_vectors(spark.createDataFrame([("urn:a", [1.0])], "vec_id string, embedding array<float>"))
+
+
 def test_many_copies_of_one_vector(spark):
     t = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(300)], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in embedding_dedup.near_duplicate_vectors(t, block_rows=32).collect()} == {(i, 0) for i in range(1, 300)}
