@@ -144,7 +144,12 @@ def test_few_copies_and_high_recall_of_uniform_vectors():
     e -= (e * b).sum(axis=1, keepdims=True) * b
     e /= np.linalg.norm(e, axis=1, keepdims=True)
     x = np.concatenate([b, 0.905 * b + (1 - 0.905**2) ** 0.5 * e]).astype(np.float32)
-    row, cell, home = embedding_dedup.cells_of(x, x[rng.permutation(8000)[:90]], embedding_dedup.REACH * 0.2**0.5 / 8)
+    c = x[rng.permutation(8000)[:90]]
+    for _ in range(4):
+        near = embedding_dedup.nearest(x, c)
+        c = np.stack([x[near == k].sum(axis=0) for k in range(90)])
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+    row, cell, home = embedding_dedup.cells_of(x, c, embedding_dedup.REACH * 0.2**0.5 / 8)
     own, places = np.empty(8000, int), set(zip(row.tolist(), cell.tolist(), strict=True))
     own[row[home]] = cell[home]
     met = [(k, own[k + 4000]) in places or (k + 4000, own[k]) in places for k in range(4000)]
