@@ -93,7 +93,6 @@ class Landmarks:
 
     def values(self, u: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Normalised kernel of each row with each landmark."""
-        own = self_kernel(u) if own is None else own
         out = np.zeros((len(u), self.weights.shape[1]), np.float32)
         size = (u > 0).sum(axis=1)
         for n in np.unique(size[size >= ORDER]).tolist():
@@ -109,8 +108,11 @@ class Landmarks:
                 if len(r):
                     dense = np.bincount(r * n_features + f[r, t], w[t], len(part) * n_features)
                     out[part] = dense.reshape(len(part), n_features).astype(np.float32) @ self.weights
-        scale = np.sqrt(own)[:, None]
-        return np.divide(out, scale, out=out, where=scale > 0)
+        # Strings that share nothing with any landmark need no norm.
+        some = np.flatnonzero(out.any(axis=1))
+        scale = np.sqrt(self_kernel(u[some]) if own is None else own[some])[:, None]
+        out[some] = np.divide(out[some], scale, out=np.zeros_like(out[some]), where=scale > 0)
+        return out
 
 
 def kernel(u: np.ndarray, landmarks: list[bytes], own: np.ndarray | None = None) -> np.ndarray:

@@ -48,7 +48,6 @@ POWER = 2
 CLEAN_RATES = (5e-3, 5e-4, 1e-4, 1e-5)
 TELLING = 5_000
 NEGATIVES = 15_000
-BENIGN = 40_000
 TELLING_EVIDENCE, TELLING_RATE = 8.0, 10.0
 LEAST_EVIDENCE = 4.0
 COST = 4.0
@@ -72,7 +71,10 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     buf, off = text_buffer(lowered(column))
     keep = _KEPT[buf]
     before = np.concatenate([[0], np.cumsum(keep)])
-    cuts = np.unique(np.concatenate([np.flatnonzero(_PARTS[buf]), off]))
+    is_cut = np.zeros(len(buf) + 1, bool)
+    is_cut[:-1] = _PARTS[buf]
+    is_cut[off] = True
+    cuts = np.flatnonzero(is_cut)
     edge = before[cuts]
     start, end, place = edge[:-1], edge[1:], cuts[:-1]
     some = end > start
@@ -211,7 +213,7 @@ def _insertions(unit: bytes, rng: np.random.Generator) -> list[bytes]:
 
 def unlike(units_: list[tuple[bytes, int]], most: int = LANDMARKS, limit: float = UNLIKE) -> list[bytes]:
     """Of units in order of weight, those that are not like one taken before."""
-    names = [u for u, _ in units_[:1500]]
+    names = [u for u, _ in units_]
     rows = matrix(names)
     own, open_, out = self_kernel(rows), np.ones(len(names), bool), []
     while open_.any() and len(out) < most:
@@ -264,8 +266,12 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
-    """Fit to ``labels(doc_id, toxic)``; at most about ``max_labelled`` of them, and all if there are no more."""
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, most_telling: int = TELLING, negatives: int = NEGATIVES) -> Model | None:
+    """Fit to ``labels(doc_id, toxic)``; at most about ``max_labelled`` of them, and all if there are no more.
+
+    The machine learns from the ``most_telling`` most frequent telling units and the ``negatives`` most frequent others; these
+    bound the fit only. All units that several clean documents of the sample have are known to be harmless.
+    """
     sample = stored(_sample(docs, labels, max_labelled), "labelled")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("unit", T.BinaryType())])
@@ -276,9 +282,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     counts = sets.groupBy("unit").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c"))
     chance = (F.col("c") + 0.5) / n[0] * n[1]
     tells = (F.col("t") >= 3) & (F.col("t") > TELLING_RATE * chance) & (F.col("t") * F.log(F.col("t") / chance) - F.col("t") + chance > TELLING_EVIDENCE)
-    telling = [(bytes(r["unit"]), r["t"]) for r in counts.where(tells).orderBy(F.desc("t"), "unit").limit(TELLING).collect()]
-    clean = [(bytes(r["unit"]), r["c"]) for r in counts.where("c > 0").where(~tells).orderBy(F.desc("c"), F.xxhash64("unit"), "unit").limit(BENIGN).collect()]
-    model = fit(telling, clean[:NEGATIVES], frozenset(u for u, c in clean if c > 1))
+    telling = [(bytes(r["unit"]), r["t"]) for r in counts.where(tells).orderBy(F.desc("t"), "unit").limit(most_telling).collect()]
+    rest = stored(counts.where("c > 0").where(~tells).select("unit", "c"), "clean-units")
+    clean = [(bytes(r["unit"]), r["c"]) for r in rest.orderBy(F.desc("c"), F.xxhash64("unit"), "unit").limit(negatives).collect()]
+    model = fit(telling, clean, frozenset(map(bytes, rest.where("c > 1").select("unit").toArrow().column(0).to_pylist())))
     if model is None:
         return None
     held = _tally(sample.where((part == 0) & (F.col("label") == 0)), model).toPandas()
@@ -310,7 +317,8 @@ class Judge:
     """A worker's copy of the model with the scores it has computed."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known = model, dict.fromkeys(model.benign, -np.inf)
+        self.room = len(self.known) + _TABLE
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Row and score of each unit in a band, all units' bytes, the unit's number among them and in its row, and the number of units of each row."""
@@ -322,11 +330,7 @@ class Judge:
         new = np.flatnonzero(np.isnan(score))
         if len(new):
             score[new] = self.model.scores(rows[new])
-            for i in new.tolist():
-                if names[i] in self.model.benign:
-                    score[i] = -np.inf
-                if len(known) < _TABLE:
-                    known[names[i]] = float(score[i])
+            known.update((names[i], float(score[i])) for i in new[: max(0, self.room - len(known))].tolist())
         at = np.flatnonzero(score[code] > self.model.bands[0])
         total = np.bincount(row, minlength=len(column))
         order = np.searchsorted(np.sort(place), place[at]) - (np.cumsum(total) - total)[row[at]]
