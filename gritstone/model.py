@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.types import TYPES
+
 VALUE_COLUMNS = {"string": "v_str", "long": "v_long", "double": "v_dbl", "boolean": "v_bool", "timestamp": "v_ts"}
 _TYPES = {"string": "string", "long": "bigint", "double": "double", "boolean": "boolean", "timestamp": "timestamp_ntz"}
 ATTRS_SCHEMA = "doc_type string, doc_id string, ts timestamp_ntz, ord int, key string, vtype string, v_str string, v_long bigint, v_dbl double, v_bool boolean, v_ts timestamp_ntz, vis string, expiration bigint, meta map<string,string>"
@@ -18,9 +20,13 @@ IDENTITY = ["doc_type", "doc_id", "ts"]
 
 
 def attribute(key: str, vtype: str, value: Column, ord_: int = 0, vis: Column | None = None, expiration: Column | None = None) -> Column:
-    """An attribute as a struct of the columns of ``attrs`` that belong to it."""
+    """An attribute as a struct of the columns of ``attrs`` that belong to it; values of custom types are encoded."""
     fields = [F.lit(ord_).alias("ord"), F.lit(key).alias("key"), F.lit(vtype).alias("vtype")]
-    fields += [(value if t == vtype else F.lit(None)).cast(_TYPES[t]).alias(c) for t, c in VALUE_COLUMNS.items()]
+    if vtype in TYPES:
+        value, stored_as = TYPES[vtype].encode(value), "string"
+    else:
+        stored_as = vtype
+    fields += [(value if t == stored_as else F.lit(None)).cast(_TYPES[t]).alias(c) for t, c in VALUE_COLUMNS.items()]
     fields += [F.coalesce(vis, F.lit("")).alias("vis") if vis is not None else F.lit("").alias("vis")]
     fields += [(expiration if expiration is not None else F.lit(-1)).cast("bigint").alias("expiration")]
     return F.struct(*fields, F.create_map().cast("map<string,string>").alias("meta"))

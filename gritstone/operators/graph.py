@@ -60,19 +60,22 @@ class Traversal:
         own = self.vertices.where(where if not hasattr(where, "__dataclass_fields__") else wide(where))
         return self._with(own.withColumn("path", F.array(F.struct("type", "id"))))
 
-    def _step(self, direction: str, labels: tuple[str, ...]) -> Traversal:
+    def _step(self, direction: str, labels: tuple[str, ...], edges=None) -> Traversal:
         near, far = ENDS[direction]
         own = self.edges.where(F.col("label").isin(*labels)) if labels else self.edges
+        if edges is not None:
+            own = own.where(edges if not hasattr(edges, "__dataclass_fields__") else wide(edges))
         hop = own.select(F.col(f"{near}_type").alias("type"), F.col(f"{near}_id").alias("id"), F.col(f"{far}_type").alias("to_type"), F.col(f"{far}_id").alias("to_id"))
         reached = self._at.select("type", "id", "path").join(hop, ["type", "id"]).select(F.col("to_type").alias("type"), F.col("to_id").alias("id"), "path")
         found = self.vertices.join(reached, ["type", "id"])
         return self._with(found.withColumn("path", F.concat("path", F.array(F.struct("type", "id")))))
 
-    def out(self, *labels: str) -> Traversal:
-        return self._step("OUT", labels)
+    def out(self, *labels: str, edges=None) -> Traversal:
+        """Along edges with one of the labels (any, if none is given) that a condition on edges holds for."""
+        return self._step("OUT", labels, edges)
 
-    def in_(self, *labels: str) -> Traversal:
-        return self._step("IN", labels)
+    def in_(self, *labels: str, edges=None) -> Traversal:
+        return self._step("IN", labels, edges)
 
     def has(self, where) -> Traversal:
         """Keep vertices that a condition holds for."""
@@ -85,6 +88,22 @@ class Traversal:
             at = at._step(direction, labels)
         return at
 
+    def loop_while(self, goes_on, direction: str = "OUT", *labels: str, most: int = 10, edges=None) -> Traversal:
+        """The same step again for those vertices that ``goes_on(loops)`` holds for, a condition on a vertex and the number of steps it took.
+
+        Vertices that it doesn't hold for are the result. The condition is asked after each step, and after ``most`` steps
+        all that are left are results too.
+        """
+        at, done = self, None
+        for loops in range(1, most + 1):
+            at = at._step(direction, labels, edges)
+            rows = at._at
+            condition = F.coalesce(goes_on(F.lit(loops)), F.lit(False)) if loops < most else F.lit(False)
+            ended = rows.where(~condition)
+            done = ended if done is None else done.unionByName(ended)
+            at = at._with(rows.where(condition))
+        return self._with(done)
+
     def frame(self) -> DataFrame:
         """The vertices reached, with their paths."""
         return self._at

@@ -4,7 +4,8 @@ Three targets: columns of a wide table (pushed into the scan where Spark can), a
 document row, and the long attribute table (one aggregation by document). In all of them a leaf is a
 plain yes or no: an attribute that a document lacks makes positive leaves false and negative ones true. Over
 several values, a positive leaf holds if any value does, a negative one if none does. Values are compared
-within one type only: a long never equals a double.
+within one type only: a long never equals a double. Where ``coerce`` is asked for, numbers, booleans and texts are compared
+across types: a text counts as the number or the boolean that it spells, and a whole number equals the double of its value.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import as_boolean, as_number
+from ..functions.types import TYPES
 from ..model import IDENTITY, VALUE_COLUMNS
 
 NEGATIVE = {"not_eq": "eq", "has_not": "has", "not_in": "in", "not_matches": "matches"}
@@ -142,6 +145,8 @@ def vtype_of(value) -> str:
     for kind, name in ((bool, "boolean"), (int, "long"), (float, "double"), (str, "string"), (dt.datetime, "timestamp")):
         if isinstance(value, kind):
             return name
+    if (custom := TYPES.of(value)) is not None:
+        return custom.alias
     raise TypeError(f"no attribute type for {type(value).__name__}")
 
 
@@ -149,7 +154,14 @@ def literal(value) -> Column:
     """The literal in its type's column."""
     if isinstance(value, dt.datetime):
         return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
-    return F.lit(value).cast("bigint") if vtype_of(value) == "long" else F.lit(value)
+    if (kind := vtype_of(value)) in TYPES:
+        return F.lit(TYPES[kind].text(value))
+    return F.lit(value).cast("bigint") if kind == "long" else F.lit(value)
+
+
+def value_column(vtype: str) -> str:
+    """The column that holds values of a type; those of custom types are texts."""
+    return VALUE_COLUMNS.get(vtype, VALUE_COLUMNS["string"])
 
 
 def _test(op: str, value: Column, values: tuple) -> Column:
@@ -215,24 +227,49 @@ def keys(node) -> set[str]:
     return {k for c in getattr(node, "children", (node.child,) if isinstance(node, Not) else ()) for k in keys(c)}
 
 
-def _on_value(n, a: Callable[[str], Column]) -> Column:
+def _coerced(op: str, a: Callable[[str], Column], values: tuple) -> Column:
+    """A comparison with a literal across types; other pairs of types than numbers, booleans and texts don't compare."""
+    kind = vtype_of(values[0])
+    number = F.coalesce(a("v_long").cast("double"), a("v_dbl"), as_number(a("v_str")))
+    if kind in ("long", "double"):
+        exact = (a("vtype") == kind) & _test(op, a(VALUE_COLUMNS[kind]), values)
+        return F.when(a("vtype") == kind, exact).otherwise(a("vtype").isin("long", "double", "string") & _test(op, number, tuple(map(float, values))))
+    if kind == "boolean":
+        return a("vtype").isin("boolean", "string") & _test(op, F.coalesce(a("v_bool"), as_boolean(a("v_str"))), values)
+    same = (a("vtype") == kind) & _test(op, a(value_column(kind)), values)
+    if kind != "string":
+        return same
+    try:
+        numbers = tuple(float(v) for v in values)
+    except ValueError:
+        numbers = ()
+    flags = tuple(v.lower() == "true" for v in values) if all(v.lower() in ("true", "false") for v in values) else ()
+    if numbers:
+        same = same | a("vtype").isin("long", "double") & _test(op, number, numbers)
+    return same | (a("vtype") == "boolean") & _test(op, a("v_bool"), flags) if flags else same
+
+
+def _on_value(n, a: Callable[[str], Column], coerce: bool = False) -> Column:
     """A leaf's condition on one attribute value, given its fields."""
     if isinstance(n, Call):
-        test = (a("vtype") == n.vtype) & n.function(a(VALUE_COLUMNS[n.vtype]))
+        test = (a("vtype") == n.vtype) & n.function(a(value_column(n.vtype)))
     elif n.op == "has":
         test = F.lit(True)
     elif n.op == "in":
-        parts = [(a("vtype") == t) & _test("in", a(VALUE_COLUMNS[t]), tuple(v for v in n.values if vtype_of(v) == t)) for t in sorted({vtype_of(v) for v in n.values})]
+        parts = [(a("vtype") == t) & _test("in", a(value_column(t)), tuple(v for v in n.values if vtype_of(v) == t)) for t in sorted({vtype_of(v) for v in n.values})]
+        parts += [_coerced("eq", a, (v,)) for v in n.values] if coerce else []
         test = reduce(lambda x, y: x | y, parts, F.lit(False))
+    elif coerce and n.op != "matches":
+        test = _coerced(n.op, a, n.values)
     else:
         t = vtype_of(n.values[0])
-        test = (a("vtype") == t) & _test(n.op, a(VALUE_COLUMNS[t]), n.values)
+        test = (a("vtype") == t) & _test(n.op, a(value_column(t)), n.values)
     return F.coalesce((a("key") == n.key) & test, F.lit(False))
 
 
-def on_docs(node, attrs: str = "attrs") -> Column:
+def on_docs(node, attrs: str = "attrs", coerce: bool = False) -> Column:
     """A condition on documents that hold their attributes as an array."""
-    return _fold(node, lambda n: F.exists(attrs, lambda v: _on_value(n, lambda f: v[f])))
+    return _fold(node, lambda n: F.exists(attrs, lambda v: _on_value(n, lambda f: v[f], coerce)))
 
 
 def true_when_missing(node) -> bool:
@@ -246,7 +283,7 @@ def true_when_missing(node) -> bool:
     return isinstance(node, Leaf) and node.op in NEGATIVE
 
 
-def matching_ids(attrs: DataFrame, node) -> DataFrame:
+def matching_ids(attrs: DataFrame, node, coerce: bool = False) -> DataFrame:
     """Identities of the documents that the tree holds for, by one aggregation over the long table.
 
     Rows of other keys don't enter the shuffle, unless documents without any of the keys match as well.
@@ -262,5 +299,5 @@ def matching_ids(attrs: DataFrame, node) -> DataFrame:
 
     condition = _fold(node, leaf)
     rows = attrs if true_when_missing(node) else attrs.where(F.col("key").isin(*sorted(keys(node))))
-    flags = [F.bool_or(_on_value(n, F.col)).alias(f"leaf_{i}") for i, n in enumerate(found)]
+    flags = [F.bool_or(_on_value(n, F.col, coerce)).alias(f"leaf_{i}") for i, n in enumerate(found)]
     return rows.groupBy(*IDENTITY).agg(*(flags or [F.count("*").alias("n")])).where(condition).select(*IDENTITY)

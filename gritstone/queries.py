@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from ipaddress import IPv4Address
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .functions.visibility import millis, unexpired, within_age
-from .model import cents, customers_as_points, events_as_attrs, orders_as_attrs, orders_as_ranges, trade_graph
+from .functions.types import TYPES
+from .model import cents, customers_as_points, events_as_attrs, orders_as_attrs, orders_as_ranges, to_attrs, trade_graph
 from .operators import blobs, changelog, documents, features, geo, graph, lastn, ranges
 from .plans.criteria import Criteria, on_docs, wide
+from .plans.expressions import parse
+from .sources import tables
+from .sources.scratch import fresh_path
 from .sources.tables import expand_json, flatten_json
+from .streaming import continuous
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,6 +265,13 @@ def metric_moments(spark, sf_dir):
     return m.select("type", "vis", "bucket", "mean", "variance")
 
 
+@query(f"""WITH m AS ({METRIC_SQL.format(unit="day")})
+SELECT type, vis, bucket, CASE WHEN count < 2 THEN 0.0 ELSE sqrt(greatest(0.0, CAST(sum_square AS DOUBLE) / count - (CAST(sum AS DOUBLE) / count) * (CAST(sum AS DOUBLE) / count))) END AS std_dev FROM m""")
+def metric_std_dev(spark, sf_dir):
+    m = features.with_moments(features.rollup(_features(spark, sf_dir), "DAYS"))
+    return m.select("type", "vis", "bucket", "std_dev")
+
+
 @query(" UNION ALL ".join(f"SELECT '{u}' AS unit, * FROM ({METRIC_SQL.format(unit=S.UNITS[u])})" for u in ("HOURS", "DAYS", "MONTHS")))
 def metric_rollup_all_units(spark, sf_dir):
     return features.rollups(_features(spark, sf_dir), ["HOURS", "DAYS", "MONTHS"])
@@ -280,6 +294,15 @@ def feature_custom_vector(spark, sf_dir):
     return features.custom_rollup(f, "DAYS", [F.count_distinct("user_id").alias("users")], ["grp", "type"])
 
 
+@query(f"SELECT event_type AS type, date_trunc('day', ts)::TIMESTAMP AS bucket, CAST(max({CENTS}) - min({CENTS}) AS BIGINT) AS spread FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def feature_pandas_vector(spark, sf_dir):
+    def spread(values: pd.Series) -> int:
+        return int(values.max() - values.min())
+
+    f = _features(spark, sf_dir).where("value IS NOT NULL")
+    return features.custom_rollup(f, "DAYS", [F.pandas_udf(spread, "bigint")("value").alias("spread")], ["type"])
+
+
 @query("SELECT user_id, event_id, ts, event_type, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 3")
 def last_n(spark, sf_dir):
     return lastn.last_n(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type"), "user_id", 3, "ts", "event_id")
@@ -366,7 +389,9 @@ def geo_box(spark, sf_dir):
 
 @query(f"SELECT id, x, y FROM ({POINT_SQL}) WHERE x BETWEEN -30 AND 40 AND y BETWEEN 10 AND 60")
 def geo_box_by_zorder(spark, sf_dir):
-    return geo.in_box_by_zorder(geo.with_zorder(customers_as_points(table(spark, sf_dir, "customer"))), -30, 10, 70, 50).select("id", "x", "y")
+    path = fresh_path(spark, "points")
+    tables.save_points(customers_as_points(table(spark, sf_dir, "customer")), path)
+    return geo.in_box_by_zorder(spark.read.parquet(path), -30, 10, 70, 50).select("id", "x", "y")
 
 
 @query("SELECT id, CAST(" + " + ".join(f"(((cx >> {i}) & 1) << {2 * i}) + (((cy >> {i}) & 1) << {2 * i + 1})" for i in range(16)) + f""" AS BIGINT) AS z
@@ -471,9 +496,13 @@ def json_expand(spark, sf_dir):
     return expand_json(json_flatten(spark, sf_dir), ["event_id"])
 
 
-@query("SELECT o_orderkey % 181 AS shard, count(*) AS n FROM orders GROUP BY 1")
+def _digest_sql(column: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({column} AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT CAST({_digest_sql('o_orderkey')} % 181 AS INTEGER) AS shard, count(*) AS n FROM orders GROUP BY 1")
 def shard_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.pmod("o_orderkey", F.lit(181)).alias("shard")).count().withColumnRenamed("count", "n")
+    return table(spark, sf_dir, "orders").groupBy(tables.shard(F.col("o_orderkey"), 181, tables.digest_number).alias("shard")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_id, (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 900000 AS bucket, 9223372036854775807 - epoch_ms(date_trunc('hour', ts)::TIMESTAMP) AS reverse_hour,
@@ -483,7 +512,233 @@ def time_encodings(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.bucket_floor(t, S.BUCKETS["FIFTEEN_MINS"]).alias("bucket"), S.reverse_millis("HOURS", t).alias("reverse_hour"), S.reverse_digits(t).alias("reverse_digits"))
 
 
-@query("SELECT event_id, (epoch_us(ts) // 1000) AS at, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number, CAST(NULL AS BOOLEAN) AS flag FROM events")
+@query("""SELECT event_id, (epoch_us(ts) // 1000) AS at, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id / 8.0 WHEN 2 THEN -1500.0 END AS number,
+CASE event_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE END AS flag FROM events""")
 def coercions(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select("event_id", millis(F.col("ts")).alias("at"), S.as_number(k).alias("number"), S.as_boolean(F.concat(F.lit("x"), k)).alias("flag"))
+    i = F.col("event_id")
+    number = F.when(i % 5 == 0, i.cast("string")).when(i % 5 == 1, (i / 8).cast("string")).when(i % 5 == 2, "-1.5e3").when(i % 5 == 3, "1,5 or so").otherwise("")
+    flag = F.when(i % 4 == 0, "true").when(i % 4 == 1, "FALSE").when(i % 4 == 2, "maybe").otherwise("yes")
+    return table(spark, sf_dir, "events").select("event_id", millis(F.col("ts")).alias("at"), S.as_number(number).alias("number"), S.as_boolean(flag).alias("flag"))
+
+
+# -- saving, then reading what was saved
+
+
+@query(f"""WITH {ATTRS_SQL} SELECT doc_type, doc_id, key FROM attrs WHERE doc_id IN (
+  SELECT doc_id FROM attrs WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-09' AND doc_type IN ('click', 'error') GROUP BY doc_id HAVING bool_or(key = 'k' AND num > 50))""")
+def save_load_query(spark, sf_dir):
+    path = fresh_path(spark, "events")
+    tables.save_events(_attrs(spark, sf_dir), path, 2)
+    days = tables.load_days(spark, path, "2024-01-05", "2024-01-09", ["click", "error"])
+    return documents.query(days, C().greater_than("k", 50).build()).select("doc_type", "doc_id", "key")
+
+
+@query("SELECT 'region' AS doc_type, CAST(r_regionkey AS VARCHAR) AS doc_id, r_name AS name FROM region UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation")
+def save_load_entities(spark, sf_dir):
+    path = fresh_path(spark, "entities")
+    vertices, _ = _graph(spark, sf_dir)
+    tables.save_entities(to_attrs(vertices, F.col("type"), F.col("id"), None, {"name": ("string", F.col("name"))}), path)
+    return documents.get_all_by_type(tables.load_attrs(spark, path), ["region", "nation"]).select("doc_type", "doc_id", F.col("v_str").alias("name"))
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 4")
+def last_n_put(spark, sf_dir):
+    path = fresh_path(spark, "last-n")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    for part in (2, 0, 1):  # the newest don't come last
+        tables.put_last_n(e.where(F.col("event_id") % 3 == part), path, 4, "user_id", "ts", "event_id", 4)
+    return tables.load_last_n(spark, path)
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE event_type IN ('click', 'view') AND ts BETWEEN '2024-01-05' AND '2024-01-20 12:00:00' ORDER BY ts DESC, event_id LIMIT 50")
+def temporal_put(spark, sf_dir):
+    path = fresh_path(spark, "temporal")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    for part in (0, 1):
+        tables.put_temporal(e.where(F.col("event_id") % 2 == part), path, "event_type")
+    days = spark.read.parquet(path).where("day BETWEEN '2024-01-05' AND '2024-01-20'")
+    return lastn.temporal_last_n(days, ["click", "view"], START, STOP, 50, "event_type", "ts", "event_id").select("event_id", "ts", "event_type")
+
+
+@query(f"SELECT id, lo, hi FROM ({RANGE_SQL}) WHERE lo <= 10300 AND hi >= 10250 AND lo % 2 = 0")
+def range_save_delete(spark, sf_dir):
+    path = fresh_path(spark, "ranges")
+    r = orders_as_ranges(table(spark, sf_dir, "orders"))
+    tables.save_ranges(r, path)
+    saved = ranges.overlapping(spark.read.parquet(path), 10_250, 10_300)
+    return ranges.delete(saved, r.where("lo % 2 = 1")).select("id", "lo", "hi")
+
+
+@query(f"WITH {_LEAVES} SELECT idx, bucket, hash FROM leaves")
+def changelog_put(spark, sf_dir):
+    path = fresh_path(spark, "changes")
+    hashed = _hashed(table(spark, sf_dir, "events")).select("event_id", "ts", "hash")
+    for part in (0, 1):
+        tables.put_changes(hashed.where(F.col("event_id") % 2 == part), path, S.BUCKETS["HOUR"])
+    return changelog.bucket_leaves(spark.read.parquet(path), FIRST, LAST, S.BUCKETS["HOUR"])
+
+
+@query("SELECT CAST(d AS DATE) AS day, CAST(s AS INTEGER) AS shard FROM range(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY) t(d), range(181) u(s)")
+def shard_splits(spark, sf_dir):
+    return tables.shard_splits(spark, "2024-01-01", "2024-03-01")
+
+
+@query("SELECT event_id, value, event_type AS \"group\" FROM events WHERE event_type IN ('click', 'error')")
+def grouped_output(spark, sf_dir):
+    path = fresh_path(spark, "grouped")
+    tables.save_grouped(table(spark, sf_dir, "events").select("event_id", "value", F.col("event_type").alias("group")), path)
+    return spark.read.parquet(path).where(F.col("group").isin("click", "error"))
+
+
+@query(f"SELECT event_id, CAST((CAST(event_type > 'error' AS INTEGER) + CAST(event_type > 'purchase' AS INTEGER)) * 4 + {_digest_sql('event_id')} % 4 AS INTEGER) AS partition FROM events")
+def range_sub_bins(spark, sf_dir):
+    return tables.sub_binned(table(spark, sf_dir, "events"), ["purchase", "error"], 4, "event_type", "event_id").select("event_id", "partition")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last, TRUE AS in_order FROM events GROUP BY 1")
+def range_partitions(spark, sf_dir):
+    parts = tables.range_partitioned(table(spark, sf_dir, "events").select("event_type", "event_id"), 5, "event_type", "event_id")
+    placed = parts.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    # In order: by place, a group's ids rise; so the largest id has the last place.
+    last = F.max_by("event_id", F.struct("part", "place")) == F.max("event_id")
+    first = F.min_by("event_id", F.struct("part", "place")) == F.min("event_id")
+    return placed.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), (first & last).alias("in_order"))
+
+
+# -- intervals of any domain, and their union
+
+
+@query(f"""WITH r AS (SELECT id % 20 AS shard, lo, hi FROM ({RANGE_SQL}) WHERE id % 3 = 0), m AS (
+  SELECT *, coalesce(lo > max(hi) OVER (PARTITION BY shard ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS new FROM r
+), n AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY shard ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS number FROM m)
+SELECT shard, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY shard, number""")
+def range_union(spark, sf_dir):
+    r = orders_as_ranges(table(spark, sf_dir, "orders")).where("id % 3 = 0").withColumn("shard", F.col("id") % 20)
+    return ranges.united(r, "shard")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS lo, CAST(o_orderdate AS TIMESTAMP) + to_days(CAST(CASE WHEN o_orderkey % 50 = 0 THEN 900 ELSE o_orderkey % 9 END AS INTEGER)) AS hi FROM orders),
+b AS (SELECT s_suppkey AS id, TIMESTAMP '1994-01-01 06:00:00' + to_days(CAST(s_suppkey * 17 % 1500 AS INTEGER)) AS lo, TIMESTAMP '1994-01-01 06:00:00' + to_days(CAST(s_suppkey * 17 % 1500 + s_suppkey % 6 AS INTEGER)) AS hi FROM supplier)
+SELECT a.id AS a_id, a.lo AS a_lo, a.hi AS a_hi, b.id AS b_id, b.lo AS b_lo, b.hi AS b_hi FROM a JOIN b ON a.lo <= b.hi AND a.hi >= b.lo""")
+def range_overlap_times(spark, sf_dir):
+    def span(t, id_, start, days):
+        lo = start.cast("timestamp_ntz")
+        return t.select(F.col(id_).alias("id"), lo.alias("lo"), (lo + F.make_interval(days=days.cast("int"))).alias("hi"))
+
+    k, s = F.col("o_orderkey"), F.col("s_suppkey")
+    a = span(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_orderdate"), F.when(k % 50 == 0, 900).otherwise(k % 9))
+    b = table(spark, sf_dir, "supplier").select("s_suppkey", (F.lit("1994-01-01 06:00:00").cast("timestamp_ntz") + F.make_interval(days=(s * 17 % 1500).cast("int"))).alias("start"))
+    return ranges.overlap_join(a, span(b, "s_suppkey", F.col("start"), s % 6), 5 * 86_400_000, millis)
+
+
+# -- types, texts and metadata
+
+
+_ADDRESS = "CAST(10 AS BIGINT) * 16777216 + c_custkey % 7 * 65536 + c_custkey % 256 * 256 + c_custkey % 11"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS doc_id, concat('10.', c_custkey % 7, '.', c_custkey % 256, '.', c_custkey % 11) AS ip FROM customer WHERE {_ADDRESS} > {int(IPv4Address('10.2.100.3'))} AND {_ADDRESS} <= {int(IPv4Address('10.5.9.10'))}")
+def custom_type_range(spark, sf_dir):
+    k = F.col("c_custkey")
+    dotted = F.concat_ws(".", F.lit("10"), (k % 7).cast("string"), (k % 256).cast("string"), (k % 11).cast("string"))
+    hosts = to_attrs(table(spark, sf_dir, "customer"), F.lit("host"), k, None, {"ip": ("ipv4", dotted)})
+    node = C().and_().greater_than("ip", IPv4Address("10.2.100.3")).less_than_eq("ip", IPv4Address("10.5.9.10")).end().build()
+    found = hosts.join(documents.matching_ids(hosts, node).select("doc_id"), "doc_id", "left_semi")
+    return found.select("doc_id", TYPES["ipv4"].decode(F.col("v_str")).alias("ip"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS doc_id FROM events WHERE (CAST(json_extract_string(props, '$.k') AS BIGINT) < 20 OR user_id = 7) AND NOT value < 10 AND event_id % 2 = 0""")
+def coerced_query(spark, sf_dir):
+    k, e = F.get_json_object("props", "$.k"), table(spark, sf_dir, "events")
+    attributes = {"k": ("string", k), "user_id": ("long", F.col("user_id")), "value": ("double", F.col("value")), "even": ("string", (F.col("event_id") % 2 == 0).cast("string"))}
+    a = to_attrs(e, F.col("event_type"), F.col("event_id"), F.col("ts"), attributes)
+    node = C().and_().or_().less_than("k", 20).eq("user_id", "7").end().not_().less_than("value", 10).end().eq("even", True).end().build()
+    return documents.matching_ids(a, node, coerce=True).select("doc_id")
+
+
+@query(f"SELECT {EVENT_COLUMNS} FROM events WHERE (event_type = 'error' OR value > 60.5) AND user_id < 40 AND NOT coalesce(regexp_full_match(event_type, 's.*'), false) AND event_id % 3 = 1")
+def expression_query(spark, sf_dir):
+    text = "(event_type == 'error' or 60.5 < value) and user_id < 40 && !(event_type =~ 's.*') and event_id != null and math:residue(event_id, 3, 1)"
+    node = parse(text, {"math:residue": ("long", lambda v, n, r: v % n == r)})
+    return table(spark, sf_dir, "events").where(wide(node)).select(*EVENT_COLUMNS.split(", "))
+
+
+@query("""SELECT page_id, string_agg(CASE WHEN regexp_full_match(c, '[A-Za-z0-9_]') THEN c ELSE concat('$', unicode(c), '$') END, '' ORDER BY i) AS name
+FROM (SELECT page_id, unnest(string_split(url, '')) AS c, unnest(range(len(url))) AS i FROM pages) GROUP BY page_id""")
+def key_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", S.escape_key(F.col("url")).alias("name"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ADMIN' ELSE '' END AS visibility, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'unknown' END AS origin, 'web' AS source FROM events""")
+def metadata_defaults(spark, sf_dir):
+    i, meta = F.col("event_id"), F.create_map(F.lit("source"), F.lit("web"), F.lit("origin"), F.lit("old"))
+    meta = S.set_metadata(meta, "visibility", F.when(i % 3 == 0, "ADMIN").otherwise(""))
+    meta = S.set_metadata(meta, "origin", F.when(i % 2 == 0, F.col("event_type")))
+    e = table(spark, sf_dir, "events").select("event_id", meta.alias("meta"))
+    return e.select("event_id", *(S.metadata(F.col("meta"), k, d).alias(k) for k, d in (("visibility", ""), ("origin", "unknown"), ("source", None))))
+
+
+@query("""SELECT event_id, concat('{"k":', json_extract_string(props, '$.k'), '}') AS json FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def json_round_trip(spark, sf_dir):
+    return expand_json(flatten_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k bigint", typed=True), ["event_id"])
+
+
+# -- trees and graphs
+
+
+@query(f"WITH {_LEAVES}, {LEAVES_SQL.format(name='other', hash=EVENT_HASH, where='WHERE event_id % 997 <> 5')} SELECT l.idx, l.hash AS mine, o.hash AS theirs FROM leaves l JOIN other o USING (idx) WHERE l.hash <> o.hash")
+def merkle_descend(spark, sf_dir):
+    return changelog.descend(merkle_tree(spark, sf_dir), changelog.tree_frame(_leaves(spark, sf_dir, "event_id % 997 <> 5"), 720))
+
+
+@query(f"""WITH {EDGES_SQL} SELECT c.type, c.id, c.name FROM edges x JOIN edges y ON y.head_type = x.tail_type AND y.head_id = x.tail_id JOIN vertices c ON c.type = y.tail_type AND c.id = y.tail_id
+WHERE x.label = 'contains' AND x.tail_id < 10 AND y.label = 'has'""")
+def traversal_edges(spark, sf_dir):
+    v, e = _graph(spark, sf_dir)
+    walk = graph.Traversal(v, e).start(C().eq("type", "region").build()).out("contains", edges=C().less_than("tail_id", 10).build()).out("has")
+    return walk.frame().select("type", "id", "name")
+
+
+@query(f"""WITH {EDGES_SQL}, one AS (SELECT w.*, 1 AS steps FROM edges e JOIN vertices w ON w.type = e.tail_type AND w.id = e.tail_id WHERE e.head_type = 'region'),
+two AS (SELECT w.*, 2 AS steps FROM one o JOIN edges e ON e.head_type = o.type AND e.head_id = o.id JOIN vertices w ON w.type = e.tail_type AND w.id = e.tail_id WHERE o.id % 2 = 0),
+three AS (SELECT w.*, 3 AS steps FROM two o JOIN edges e ON e.head_type = o.type AND e.head_id = o.id JOIN vertices w ON w.type = e.tail_type AND w.id = e.tail_id WHERE o.id % 2 = 0)
+SELECT type, id, name, CAST(steps AS INTEGER) AS steps FROM one WHERE id % 2 <> 0 UNION ALL SELECT * FROM two WHERE id % 2 <> 0 UNION ALL SELECT * FROM three""")
+def traversal_loop(spark, sf_dir):
+    v, e = _graph(spark, sf_dir)
+    walk = graph.Traversal(v, e).start(C().eq("type", "region").build()).loop_while(lambda loops: (F.col("id") % 2 == 0) & (loops < 3), most=3)
+    return walk.frame().select("type", "id", "name", (F.size("path") - 1).alias("steps"))
+
+
+# -- streams over files that don't arrive in order; each is read to its end
+
+
+def _arriving(events: DataFrame, parts: int = 3) -> DataFrame:
+    """The rows as a stream, in several batches."""
+    spark, path = events.sparkSession, fresh_path(events.sparkSession, "arriving")
+    for k in range(parts):
+        events.where(F.pmod("event_id", F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(METRIC_SQL.format(unit="hour"))
+def stream_rollup(spark, sf_dir):
+    features_ = table(spark, sf_dir, "events").select("event_id", "ts", F.lit("site").alias("grp"), F.col("event_type").alias("type"), F.lit("value").alias("name"), F.when(F.col("user_id") % 2 == 0, "").otherwise("ADMIN").alias("vis"), cents(F.col("value")).alias("value"))
+    path = fresh_path(spark, "rolled")
+    continuous.keep_latest(continuous.continuous_rollup(_arriving(features_), "HOURS", "3650 days"), path, fresh_path(spark, "rolled-state")).awaitTermination()
+    return continuous.latest(spark.read.parquet(path), "grp", "type", "name", "vis", "bucket")
+
+
+@query(f"SELECT date_trunc('hour', ts)::TIMESTAMP AS bucket, md5(string_agg({EVENT_HASH}, ',' ORDER BY {EVENT_HASH})) AS hash FROM events GROUP BY 1")
+def stream_change_hashes(spark, sf_dir):
+    path = fresh_path(spark, "hashed")
+    stream = continuous.continuous_change_hashes(_arriving(_hashed(table(spark, sf_dir, "events")).select("event_id", "ts", "hash")), "1 hour", "3650 days")
+    continuous.keep_latest(stream, path, fresh_path(spark, "hashed-state")).awaitTermination()
+    return continuous.latest(spark.read.parquet(path), "bucket")
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= 5")
+def stream_last_n(spark, sf_dir):
+    path = fresh_path(spark, "last-n")
+    stream = _arriving(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"))
+    continuous.keep_last_n(stream, path, 5, "user_id", "ts", "event_id", fresh_path(spark, "last-n-state"), 4).awaitTermination()
+    return tables.load_last_n(spark, path)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.features import summarise
-from ..operators.lastn import last_n
+from ..sources.tables import put_last_n
 
 _WINDOWS = {"MINUTES": "1 minute", "HOURS": "1 hour", "DAYS": "1 day"}
 
@@ -28,6 +26,21 @@ def continuous_change_hashes(stream: DataFrame, size: str, late: str) -> DataFra
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "hash")
 
 
+def keep_latest(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of updates (of an aggregation by time) as one directory a batch; ``latest`` reads what holds now."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(written: DataFrame, *key: str) -> DataFrame:
+    """Of rows with a ``batch``, the one of the last batch for each key."""
+    rest = [c for c in written.columns if c not in (*key, "batch")]
+    return written.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*key, "row.*")
+
+
 def aged_off(stream: DataFrame, ttl: str) -> DataFrame:
     """Drop events that are older than ``ttl`` or from the future when they arrive."""
     now = F.current_timestamp()
@@ -35,18 +48,14 @@ def aged_off(stream: DataFrame, ttl: str) -> DataFrame:
     return stream.where((at <= now) & (at >= now - F.expr(f"interval {ttl}")))
 
 
-def keep_last_n(stream: DataFrame, path: Callable[[int], str], n: int, group: str, ts: str, id_: str, checkpoint: str) -> StreamingQuery:
+def keep_last_n(stream: DataFrame, path: str, n: int, group: str, ts: str, id_: str, checkpoint: str, slots: int = 64) -> StreamingQuery:
     """Keep each group's newest ``n`` events of a stream as a table, whatever order they arrive in.
 
-    Each batch is merged with the version before it and written to ``path(batch)``; late events count, and only
-    push out older ones. A batch that is repeated writes the same version again.
+    Each batch is put into the table at ``path``; only the directories of its groups are read and written again. Late events
+    count, and only push out older ones. A batch that is repeated changes nothing.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.schema(batch.schema).parquet(path(number - 1)).unionByName(batch)
-        last_n(rows.dropDuplicates([group, id_]), group, n, ts, id_).drop("rank").write.mode("overwrite").parquet(path(number))
+    def merge(batch: DataFrame, _: int) -> None:
+        put_last_n(batch, path, n, group, ts, id_, slots)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

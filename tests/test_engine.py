@@ -141,6 +141,12 @@ def test_metric_moments(spark, values, variance):
     assert r["count"] == len(values) and r.mean == pytest.approx(sum(values) / len(values) if values else 0)
 
 
+def test_moments_of_given_summaries(spark):
+    t = spark.createDataFrame([(1, 1, 1, 5, 1), (0, 0, 0, 0, 0)], "min long, max long, sum long, count long, sum_square long")
+    got = features.with_moments(t).orderBy("count").collect()
+    assert got[0].mean == got[0].variance == 0.0 and got[1].mean == pytest.approx(0.2) and got[1].variance == pytest.approx(0.16)
+
+
 def test_sum_of_squares_is_exact(spark):
     big = (1 << 62) + 12345
     r = spark.createDataFrame([(big,), (3,)], "v long").agg(*features.summarise(F.col("v"))).first()
@@ -261,7 +267,7 @@ def test_layout(spark, attrs, tmp_path):
     tables.save_entities(attrs, str(tmp_path / "n"), 3)
     assert {r.doc_id for r in documents.get_all_by_type(tables.load_attrs(spark, str(tmp_path / "n")), ["t"]).collect()} == {"a", "b", "c", "d"}
     assert tables.shard_splits(spark, "1969-01-01", "1969-01-01").count() == 181
-    assert tables.shard_splits(spark, "1969-01-01", "1969-01-02").count() == 362
+    assert tables.shard_splits(spark, "1969-01-01", "1969-01-02").count() == 181 and tables.shard_splits(spark, "1969-01-01", "1969-01-03").count() == 362
     tables.save_grouped(attrs.withColumn("group", F.col("key")), str(tmp_path / "g"))
     assert (tmp_path / "g" / "group=x").is_dir()
     parts = tables.range_partitioned(attrs, 3, "doc_id", "key").select("doc_id", F.spark_partition_id().alias("p")).collect()
