@@ -12,13 +12,16 @@ coordinate-value pairs, and collisions are counted:
 3. In each list the first document meets all others; verified collisions make components. Then lists
    that still hold several components meet once more, across components only. So every pair that
    could add a connection is compared, while a list of ten thousand copies costs ten thousand comparisons.
+   Lists meet in blocks of ``BLOCK`` documents, each pair of blocks a piece of work of its own, with the signatures at hand: no pair is
+   written down but those above the threshold, and no task holds more than two blocks of a list.
 
 What is kept is the connected components of the pairs above the threshold: each document but the
 smallest ``doc_id`` of its component is a duplicate of that one.
 
 Defined results for odd input: texts without a word (null and empty ones too) and rows without a
 ``doc_id`` have no partner. Documents of one or two words have one shingle, all their words. Rows with
-the same ``doc_id`` are the same document. An empty table gives an empty one; other columns don't matter.
+the same ``doc_id`` are the same document; a ``doc_id`` that is no integer is refused. An empty table gives an
+empty one; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import ONE_TASK_EDGES, components, starts_of, whole_runs
-from .shared import arrow_map, stored
+from .components import ONE_TASK_EDGES, components, label_edges, starts_of, whole_runs
+from .shared import arrow_map, integer_ids, stored
 from .text import Words, lowered, mix, runs, slices, text_buffer, words
 
 COORDINATES = 80
 MIN_EQUAL = 36
 SHINGLE = 3
+BLOCK = 1024
 _FREQUENT = 1 << 21
 _MULTIPLIER = np.random.default_rng(15_485_863).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ABSENT = np.uint64(0x5851F42D4C957F2D)
@@ -185,20 +189,33 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of lists with several components, sorted by key: all pairs of two components."""
-    for t in whole_runs(batches, "key"):
-        key, doc, root = (t.column(c).to_numpy() for c in ("key", "doc", "root"))
-        at = starts_of(key)
-        for lo, hi in zip(at, [*at[1:], len(key)], strict=True):
-            order = np.lexsort((doc[lo:hi], root[lo:hi]))
-            d, r = doc[lo:hi][order], root[lo:hi][order]
-            groups = starts_of(r)
-            for g, end in zip(groups, groups[1:], strict=False):
-                # The members of one component with all documents after them.
-                for member in d[g:end]:
-                    others = d[end:]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(member, others)), pa.array(np.maximum(member, others))], ["a", "b"])
+def _links(a: np.ndarray, b: np.ndarray, min_equal: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the rows of two blocks of signatures that are equal in ``min_equal`` coordinates, a part at a time."""
+    step = max(1, (1 << 22) // max(1, b.size))
+    for i in range(0, len(a), step):
+        r, c = np.nonzero((a[i : i + step, None, :] == b[None, :, :]).sum(axis=2, dtype=np.uint16) >= min_equal)
+        yield r + i, c
+
+
+def _across(min_equal: int):
+    """Blocks of lists with several components: links between two components, as few as connect what is linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "task"):
+            t = t.combine_chunks()
+            task, key, doc, root, own, lo, hi = (t.column(c).to_numpy() for c in ("task", "key", "doc", "root", "own", "lo", "hi"))
+            sig = _matrix(t.column("sig").chunk(0))
+            at = starts_of(task, key, lo, hi)
+            for i, j in zip(at, [*at[1:], len(task)], strict=True):
+                one = np.arange(i, j)[own[i:j] == lo[i]]
+                two = one if lo[i] == hi[i] else np.arange(i, j)[own[i:j] == hi[i]]
+                found = [(doc[one[r]][use], doc[two[c]][use]) for r, c in _links(sig[one], sig[two], min_equal) if (use := root[one[r]] != root[two[c]]).any()]
+                if found:
+                    node, least = label_edges(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    use = node != least
+                    yield pa.RecordBatch.from_arrays([pa.array(node[use]), pa.array(least[use])], ["a", "b"])
+
+    return run
 
 
 def _verify(min_equal: int):
@@ -218,8 +235,9 @@ def _verified(pairs: DataFrame, signed: DataFrame, min_equal: int) -> DataFrame:
     return arrow_map(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), _verify(min_equal), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, min_equal: int = MIN_EQUAL, shingle: int = SHINGLE, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, min_equal: int = MIN_EQUAL, shingle: int = SHINGLE, one_task_edges: int = ONE_TASK_EDGES, block: int = BLOCK) -> DataFrame:
     """``(doc_id, duplicate_of)``: each document that is a near copy, and the smallest ``doc_id`` of its group."""
+    integer_ids(docs, "doc_id")
     signed = stored(arrow_map(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), _sign(coordinates, shingle), "doc bigint, sig binary"), "signatures")
     posted = arrow_map(signed, _post, "key bigint, doc bigint")
     counted = arrow_map(posted.repartition("key").sortWithinPartitions("key"), _shared, "key bigint, doc bigint, n int")
@@ -229,9 +247,13 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, min_equal:
     first = stored(_verified(stars, signed, min_equal), "pairs")
     roots = stored(components(first, one_task_edges), "roots")
     rooted = prefix.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    across = arrow_map(rooted.join(split, "key").repartition("key").sortWithinPartitions("key"), _across, "a bigint, b bigint")
-    second = _verified(across, signed, min_equal)
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    blocks = F.ceil(F.col("n") / block)
+    posted = rooted.join(split, "key").select("key", "doc", "root", F.pmod(F.xxhash64("doc"), blocks).alias("own"), blocks.alias("blocks"))
+    posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = posted.select("key", "doc", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).withColumn("task", F.xxhash64("key", "lo", "hi"))
+    held = met.join(signed, "doc").repartition("task").sortWithinPartitions("task", "key", "lo", "hi")
+    second = arrow_map(held, _across(min_equal), "a bigint, b bigint")
     # Rows of one doc_id count as one document, so their signatures may meet under other numbers only.
     joined = first.union(second)
     return components(joined, one_task_edges).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))

@@ -1,8 +1,4 @@
-"""The folder that all executors share, for tables and files that outlive a stage.
-
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session that names
-none gets a temporary one; on a cluster without the setting these functions refuse to guess.
-"""
+"""Files in the folder that all executors share, Python over Arrow batches, and the package's way to the workers."""
 
 from __future__ import annotations
 
@@ -16,33 +12,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """URI of this application's own folder inside the shared one."""
-    base = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise ValueError(f"{_SETTING} is not set; it must name a folder that every executor can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="gritstone-")
-        spark.conf.set(_SETTING, base)
-    if "://" not in base and base.startswith("/") and spark.sparkContext.master.startswith("local"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/gritstone-{spark.sparkContext.applicationId}"
-
+from ..sources.scratch import fresh_path, shared_folder, stored
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: its lineage ends here, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "fresh_path", "integer_ids", "open_fs", "read_file", "read_range", "shared_folder", "ship_package", "stored", "write_file"]
 
 
 def integer_ids(df: DataFrame, column: str) -> None:
