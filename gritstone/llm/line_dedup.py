@@ -3,10 +3,12 @@
 1. Every task reduces its documents' lines to digests with a count and the lowest ``doc_id``; one shuffle
    of those few bytes adds them up. Lines counted fewer than ``min_count`` times need no entry: an
    absent line and a rare one are treated alike.
-2. Each shard of the digest space becomes a minimal perfect hash with three flat arrays: a 32-bit
-   fingerprint, the count and the owner (the lowest ``doc_id``). A shard is one file in the shared folder.
+2. Each shard of the digest space becomes a minimal perfect hash with three flat arrays: a 64-bit
+   fingerprint, the count and the owner (the lowest ``doc_id``). A shard is one file in the shared folder. Slot and fingerprint
+   come from two independent hashes, so of 10**12 lines fewer than one is expected to be taken for one that it isn't.
 3. Documents are read again. Every line looks its slot up, compares the fingerprint and reads count and
-   owner. Shards are memory-mapped, so the index may be larger than a worker's memory.
+   owner. Shards are memory-mapped, so the index may be larger than a worker's memory; the lines of many slices are
+   probed together, shard by shard, so that a shard is fetched once for all of them.
 
 Decision: a line counted ``min_count`` times or more, and of ``min_words`` words or more, stays in the
 document with the lowest ``doc_id``, there at its first position, and goes everywhere else.
@@ -14,8 +16,8 @@ document with the lowest ``doc_id``, there at its first position, and goes every
 Defined results for odd input: lines with the same words in the same order are the same line, whatever
 their case and punctuation. A null text stays null, an empty one empty. Lines below ``min_words`` words
 (blank ones too) stay. Rows with the same ``doc_id`` are the same document: each keeps its copy. A null
-``doc_id`` ranks after all others, and all rows with it count as one document. An empty table gives an
-empty table. Other columns pass through, also such as are named like this module's inner columns.
+``doc_id`` ranks after all others, and all rows with it count as one document; one that is no integer is refused.
+An empty table gives an empty table. Other columns pass through, also such as are named like this module's inner columns.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import mphf
-from .shared import arrow_map, fresh_path, read_file, write_file
+from .shared import arrow_map, fresh_path, integer_ids, read_file, write_file
 from .text import Lines, lines, lowered, runs, slices, text_buffer
 
 MIN_COUNT = 2
 MIN_WORDS = 2
 LINES_PER_SHARD = 4_000_000
+_HELD_LINES, _HELD_BYTES = 1 << 20, 24 << 20
 _NO_OWNER = np.iinfo(np.int64).max
 _COUNTS = "lane0 bigint, lane1 bigint, n bigint, owner bigint"
 
@@ -73,16 +76,16 @@ def line_counts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 class Shard:
-    """One shard of the index, as views of its file: header, level sizes, bits, ranks, fingerprints, counts, owners."""
+    """One shard of the index, as views of its file: header, level sizes, bits, owners, fingerprints, ranks, counts."""
 
     def __init__(self, payload: memoryview):
         levels, n_bits, n = np.frombuffer(payload, np.int64, 3).tolist()
         at = 24
         views = []
-        for kind, size in ((np.int64, levels), (np.uint64, n_bits), (np.int64, n), (np.uint32, n_bits), (np.uint32, n), (np.uint32, n)):
+        for kind, size in ((np.int64, levels), (np.uint64, n_bits), (np.int64, n), (np.uint64, n), (np.uint32, n_bits), (np.uint32, n)):
             views.append(np.frombuffer(payload, kind, size, at))
             at += views[-1].nbytes
-        self.sizes, self.bits, self.owner, self.rank, self.mark, self.count = views
+        self.sizes, self.bits, self.owner, self.mark, self.rank, self.count = views
         self.nbytes = at
 
     @staticmethod
@@ -90,11 +93,11 @@ class Shard:
         sizes, bits = mphf.build(lane0)
         rank = mphf.ranks(bits)
         slot = mphf.lookup(sizes, bits, rank, lane0)
-        mark, count, own = np.zeros(len(slot), np.uint32), np.zeros(len(slot), np.uint32), np.zeros(len(slot), np.int64)
-        mark[slot] = (lane1 >> np.uint64(32)).astype(np.uint32)
+        mark, count, own = np.zeros(len(slot), np.uint64), np.zeros(len(slot), np.uint32), np.zeros(len(slot), np.int64)
+        mark[slot] = lane1
         count[slot] = np.minimum(n, 0xFFFFFFFF)
         own[slot] = owner
-        return b"".join(x.tobytes() for x in (np.array([len(sizes), len(bits), len(slot)], np.int64), sizes, bits, own, rank, mark, count))
+        return b"".join(x.tobytes() for x in (np.array([len(sizes), len(bits), len(slot)], np.int64), sizes, bits, own, mark, rank, count))
 
     def probe(self, lane0: np.ndarray, lane1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and owner of each line; count 0 where the shard doesn't hold the line."""
@@ -102,7 +105,7 @@ class Shard:
             return np.zeros(len(lane0), np.uint32), np.zeros(len(lane0), np.int64)
         slot = mphf.lookup(self.sizes, self.bits, self.rank, lane0)
         safe = np.maximum(slot, 0)
-        held = (slot >= 0) & (self.mark[safe] == (lane1 >> np.uint64(32)).astype(np.uint32))
+        held = (slot >= 0) & (self.mark[safe] == lane1)
         return np.where(held, self.count[safe], 0), self.owner[safe]
 
 
@@ -172,27 +175,47 @@ def build_index(docs: DataFrame, min_count: int = MIN_COUNT, min_words: int = MI
     return LineIndex(shards, {r.shard: r.path for r in found})
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[tuple[pa.RecordBatch, Lines]]]:
+    """Slices with their lines, so many at a time that they have ``rows`` lines or ``_HELD_BYTES`` of text."""
+    held: list[tuple[pa.RecordBatch, Lines]] = []
+    lines_held, bytes_held = 0, 0
+    for batch in slices(batches, "text"):
+        got, buf, _ = _slice_lines(batch)
+        held.append((batch, got))
+        lines_held, bytes_held = lines_held + len(got.row), bytes_held + len(buf)
+        if lines_held >= rows or bytes_held >= _HELD_BYTES:
+            yield held
+            held, lines_held, bytes_held = [], 0, 0
+    if held:
+        yield held
+
+
 def _filter_lines(index: LineIndex, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            got, buf, off = _slice_lines(batch)
-            who = owners(batch.column("doc_id"))
-            long = np.flatnonzero(got.n_words >= min_words)
-            count, owner = index.probe(got.lane0[long], got.lane1[long])
-            drop = np.zeros(len(got.row), bool)
-            repeated = np.flatnonzero(count > 0)
-            at = long[repeated]
-            drop[at] = owner[repeated] != who[got.row[at]]
-            # Within its owner a line stays at its first position only.
-            own = at[~drop[at]]
-            order = own[np.lexsort((own, got.lane1[own], got.lane0[own], got.row[own]))]
-            again = np.concatenate([[False], (got.row[order][1:] == got.row[order][:-1]) & (got.lane0[order][1:] == got.lane0[order][:-1]) & (got.lane1[order][1:] == got.lane1[order][:-1])]) if len(order) else np.zeros(0, bool)
-            drop[order[again]] = True
-            yield _rebuilt(batch, got, drop)
+        for held in _together(batches, _HELD_LINES):
+            longs = [np.flatnonzero(got.n_words >= min_words) for _, got in held]
+            probed = index.probe(*(np.concatenate([getattr(got, lane)[long] for (_, got), long in zip(held, longs, strict=True)]) for lane in ("lane0", "lane1")))
+            cuts = np.cumsum([len(x) for x in longs])[:-1]
+            for (batch, got), long, count, owner in zip(held, longs, *(np.split(x, cuts) for x in probed), strict=True):
+                yield _rebuilt(batch, got, _to_drop(got, long, count, owner, owners(batch.column("doc_id"))))
 
     return run
 
 
+def _to_drop(got: Lines, long: np.ndarray, count: np.ndarray, owner: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Which lines of a slice go, given what the index says of the long ones."""
+    drop = np.zeros(len(got.row), bool)
+    repeated = np.flatnonzero(count > 0)
+    at = long[repeated]
+    drop[at] = owner[repeated] != who[got.row[at]]
+    # Within its owner a line stays at its first position only.
+    own = at[~drop[at]]
+    order = own[np.lexsort((own, got.lane1[own], got.lane0[own], got.row[own]))]
+    again = np.concatenate([[False], (got.row[order][1:] == got.row[order][:-1]) & (got.lane0[order][1:] == got.lane0[order][:-1]) & (got.lane1[order][1:] == got.lane1[order][:-1])]) if len(order) else np.zeros(0, bool)
+    drop[order[again]] = True
+    return drop
+
+
 def _rebuilt(batch: pa.RecordBatch, got: Lines, drop: np.ndarray) -> pa.RecordBatch:
     n = batch.num_rows
     total = np.bincount(got.row, minlength=n)
@@ -222,6 +245,7 @@ def dedup_lines(docs: DataFrame, min_count: int = MIN_COUNT, min_words: int = MI
 
     A column of ``docs`` that has one of those two names is replaced.
     """
+    integer_ids(docs, "doc_id")
     docs = docs.drop("n_lines", "n_removed")
     index = build_index(docs, min_count, min_words, lines_per_shard)
     out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
