@@ -11,8 +11,9 @@ There are no labelled spans to learn from, so the trees are fitted to generated
 standards define them, and look-alikes (order numbers, versions, dates, amounts, handles, digests, numbers
 that fail their checksum) in made-up sentences. They are made from fixed seeds, the same everywhere.
 
-Nearly all text has no digit, at sign, long token or close colons near; only windows around these are looked at, found on the
-bytes of a whole slice. A match of any generator has one of them, unless its digits are not ASCII. Documents are read once, nothing is shuffled.
+Nearly all text has no digit, at sign, long token, close colons or word like "password:" near; only windows around these are looked
+at, found on the bytes of a whole slice. A match of any generator has one of them, unless its digits are not ASCII. Documents are
+read once, nothing is shuffled.
 
 Defined results for odd input: null and empty texts have no spans. Offsets are those of characters, ends
 exclusive. A window grows to the next blank, so no candidate is cut short, however long. Repeated rows give
@@ -59,8 +60,13 @@ GENERATORS = {
     "card": (r"(?<![\w])\d(?:[ -]?\d){11,18}(?!\w)", r"(?<!\w)\d{13,19}(?!\w)"),
     "national_id": (r"(?<![\w-])\d{3}[- ]?\d{2}[- ]?\d{4}(?![\w-])",),
     "iban": (r"(?<!\w)[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{2,4}){3,8}(?!\w)", r"(?<!\w)[A-Za-z]{2}\d{2}[A-Za-z0-9]{11,30}(?!\w)"),
-    "secret": (r"(?<![\w+/-])[A-Za-z0-9_+/=-]{16,}+(?![\w])", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])"),
+    "secret": (r"(?<![\w+/-])[A-Za-z0-9_+/=-]{16,}+(?![\w])", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+(?![A-Za-z0-9])", r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key)[\"']?[ \t]{0,3}[:=]{1,2}[ \t]{0,3}[\"']?([^\s\"'<>,;]{6,64})"),
 }
+#: What a pattern's group 1 would be looked for behind: a colon or an equals sign behind one of these words.
+_CUE = re.compile(rb"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key)[\"']?[ \t]{0,3}={0,1}$")
+_CUE_ENDS = np.zeros(256, bool)
+_CUE_ENDS[[*b"dDeEtTnNyY\"' \t="]] = True
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-", "glpat-", "AIza")
 _COMPILED = tuple(tuple(re.compile(p) for p in GENERATORS[kind]) for kind in KINDS)
 _WORDS = (
     ("mail", "e-mail", "email", "contact", "write"),
@@ -87,7 +93,7 @@ class Span(NamedTuple):
 
 def candidates(text: str) -> list[Span]:
     """All candidates of all generators."""
-    return list(dict.fromkeys(Span(*m.span(), k) for k, patterns in enumerate(_COMPILED) for p in patterns for m in p.finditer(text)))
+    return list(dict.fromkeys(Span(*m.span(p.groups), k) for k, patterns in enumerate(_COMPILED) for p in patterns for m in p.finditer(text)))
 
 
 def _luhn(digits: str) -> bool:
@@ -126,6 +132,7 @@ def describe(text: str, span: Span) -> list[float]:
     out += [_iban_valid(s) if span.kind == 5 else 0, all(c in "0123456789abcdefABCDEF" for c in s), bool(re.fullmatch(r"(?:19|20)\d\d[-./]?\d\d?[-./]?\d\d?.*|\d\d?[-./]\d\d?[-./](?:19|20)\d\d", s)), bool(re.search(r"(\d)\1{4}", s)), "".join(digits) in "01234567890123456789"]
     out += [before[-1:] in "#$€£v@_-./" if before else 0, before[-1:] in "\"'=:" if before else 0, "=" in before[-4:] or ":" in before[-4:], after[:1] in "\"'" if after else 0, after[:1] in "%-/@:" if after else 0]
     out += [any(w in near for w in words) for words in _WORDS]
+    out += [s.count(":"), "::" in s, s.startswith(_PREFIXES), s.isalpha(), s.islower()]
     return [float(x) for x in out]
 
 
@@ -177,28 +184,44 @@ def _examples(seed: int, n: int) -> tuple[list[tuple[str, Span]], list[int]]:
     def upper(s: str) -> str:
         return s.upper() if rng.random() < 0.15 else s
 
+    CUED = ("password", "Password", "passwd", "pwd", "secret", "token", "api_key", "api key", "API_KEY")
     makers = [
         (0, 1, lambda: upper(f"{name()}{pick('', '.', '_', '-')}{pick(name(), number(2), number(3))}@{name()}{pick('', number(1), '-' + name())}.{pick('com', 'org', 'net', 'de', 'fr', 'example.com', 'co.uk', 'io', 'es')}")),
         (0, 0, lambda: pick(f"{name()}@{name()}", f"{number(2)}@{number(2)}.{number(2)}", f"{name()}@{number(1)}.{number(1)}.{number(1)}")),
         (1, 1, lambda: octets()),
+        (1, 1, lambda: pick(":".join(mixed(int(rng.integers(1, 5)), "0123456789abcdef") for _ in range(8)), f"2001:db8::{mixed(int(rng.integers(1, 5)), '0123456789abcdef')}", f"fe80::{mixed(4, '0123456789abcdef')}:{mixed(4, '0123456789abcdef')}:{mixed(3, '0123456789abcdef')}", f"2a0{number(1)}:{mixed(4, '0123456789abcdef')}:{mixed(2, '0123456789abcdef')}::{mixed(1, '0123456789abcdef')}")),
+        (1, 1, lambda: pick(f"10.{rng.integers(0, 3)}.{rng.integers(0, 10)}.{rng.integers(1, 255)}", f"10.0.0.{number(1)}", f"192.168.{rng.integers(0, 10)}.{rng.integers(1, 255)}", f"172.16.{rng.integers(0, 32)}.{rng.integers(1, 255)}"), _WORDS[2], None),
+        (1, 0, lambda: pick(":".join(mixed(2, "0123456789abcdef") for _ in range(6)), f"{number(1)}:{number(2)}:{number(2)}:{number(2)}", f"{number(2)}:{number(2)}:{number(2)}:{number(3)}")),
         (1, 0, lambda: pick(f"{number(1)}.{number(1)}.{number(1)}.{number(1)}", f"{rng.integers(256, 1000)}.{number(3)}.{number(3)}.{number(2)}", f"{number(1)}.{number(1)}.{number(4)}.{number(4)}")),
         (2, 1, lambda: pick(f"+{rng.integers(1, 99)} ({number(3)}) {number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"+{rng.integers(1, 99)} {number(3)} {number(3)} {number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"+{rng.integers(10, 99)}{number(10)}", f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", f"+{rng.integers(1, 99)}-{number(3)}-{number(3)}-{number(4)}")),
         (2, 0, lambda: pick(f"{rng.integers(1900, 2100)}-{rng.integers(10, 12)}-{rng.integers(10, 28)}", f"{rng.integers(1900, 2030)}-{rng.integers(1900, 2030)}", number(8), number(10), f"{number(3)}.{number(3)}.{number(3)}", f"{rng.integers(10, 28)}/{rng.integers(10, 12)}/{rng.integers(1990, 2030)}", octets(), unchecked(16), number(12), f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{number(1)} {number(3)} {number(3)}", f"{number(4)}.{number(6)}")),
+        (2, 1, lambda: pick(f"0{number(3)} {number(8)}", f"0{number(3)}/{number(7)}", f"0{number(4)}-{number(6)}", f"0{number(3)} {number(3)} {number(4)}", f"0{number(10)}"), ("", *_WORDS[1]), None),
         (3, 1, lambda: (lambda s: pick(s, s, spaced(s, " ", 4, 4, 4), spaced(s, "-", 4, 4, 4)))(pick(checked("4", 16), checked("4", 16), checked(f"5{rng.integers(1, 6)}", 16), checked("6011", 16))) if rng.random() < 0.9 else checked(f"3{pick(4, 7)}", 15)),
         (3, 0, lambda: pick(unchecked(16), unchecked(16), unchecked(13), checked(pick("0", "9", "1", "7", "8"), 16), number(14), number(18), spaced(unchecked(16), " ", 4, 4, 4))),
         (4, 1, lambda: f"{rng.integers(100, 899)}-{number(2)}-{number(4)}"),
+        (4, 1, lambda: pick(number(9), f"{number(3)} {number(2)} {number(4)}"), ("ssn", "SSN", "social security", "social security number", "tax"), None),
         (4, 0, lambda: pick(number(9), f"000-{number(2)}-{number(4)}", f"{number(3)} {number(2)} {number(4)}", f"9{number(2)}{number(6)}")),
         (5, 1, lambda: (lambda s: pick(s, spaced(s, " ", 4, 4, 4, 4, 4)))(iban())),
         (5, 0, lambda: pick(f"{pick('AB', 'XX', 'ID', 'NO')}{number(2)}{mixed(14, alnum[26:])}", f"{pick('in', 'to', 'by')}{number(2)} {number(4)} {number(4)} {number(4)}")),
         (6, 1, lambda: pick(mixed(40, "0123456789abcdef"), mixed(32, "0123456789abcdef"), "sk-" + mixed(32, alnum), "AKIA" + mixed(16, alnum[26:]), "ghp_" + mixed(36, alnum), mixed(int(rng.integers(20, 48)), alnum))),
+        (6, 1, lambda: pick("AKIA" + mixed(16, alnum[26:]), "ghp_" + mixed(36, alnum), "sk-" + mixed(32, alnum), "glpat-" + mixed(20, alnum)), ("",), None),
+        (6, 1, lambda: pick(f"{name()}{number(int(rng.integers(1, 5)))}", f"{name().title()}{pick('!', '#', '$', '_')}{number(2)}", mixed(int(rng.integers(8, 15)), alnum), (name() + name() + name() + name())[:32], mixed(int(rng.integers(16, 40)), alnum[:26])), CUED, (": ", "=", " = ", ":")),
+        (6, 0, lambda: pick("required", "optional", "string", "expired", "invalid", "missing", "protected", "forgotten", "incorrect", "changed", "default", "generated", "removed", "rotation", "authentication", "instructions", re.sub(r"[^a-z]", "e", word(5, 11)), re.sub(r"[^a-z]", "o", word(5, 11))), CUED, (": ", "=", " = ")),
         (6, 0, lambda: pick("".join(word(6, 14) for _ in range(3)) + number(1), "-".join(name() for _ in range(4)) + number(2), "/".join(name() for _ in range(4)) + number(1), "_".join(name() for _ in range(4)) + number(1), number(16), number(20), "=" * 20 + number(1), mixed(40, "0123456789abcdef"), f"{mixed(8, '0123456789abcdef')}-{mixed(4, '0123456789abcdef')}-4{mixed(3, '0123456789abcdef')}-a{mixed(3, '0123456789abcdef')}-{mixed(12, '0123456789abcdef')}")),
     ]
     out, labels = [], []
     while len(out) < n:
-        kind, good, make = makers[int(rng.integers(len(makers)))]
+        kind, good, make, *cued = makers[int(rng.integers(len(makers)))]
         value = make()
+        if len(value) < 6:
+            continue
         lead = " ".join(word() for _ in range(int(rng.integers(1, 7))))
-        if kind == 6:
+        if cued:
+            cue, between = pick(*cued[0]), pick(*(cued[1] or (" ", ": ", " ")))
+            quote = pick('"', "'", "") if cued[1] and not between.startswith(":") else ""
+            lead += f" {cue}{between if cue else ' '}{quote}"
+            tail = quote + pick(" ", "\n", ". " if not cued[1] else " ") + word()
+        elif kind == 6:
             digest = not good and re.fullmatch(r"[0-9a-f-]{36,40}", value)
             cue = pick(*_WORDS[6]) if good else pick(*_WORDS[9]) if digest else pick("", pick(*_WORDS[8]))
             lead += f" {upper(cue)}{pick(' = ', '=', ': ', ' ')}" + (quote := pick('"', '"', "'", ""))
@@ -269,7 +292,12 @@ def _windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     long = closes - opens >= _LONG
     colons = np.flatnonzero(buf == ord(":"))
     close = colons[2:][colons[2:] - colons[:-2] <= _COLONS]
-    at = np.unique(np.concatenate([np.flatnonzero(_ANCHOR[buf]), opens[long], closes[long] - 1, close]))
+    # A colon or an equals sign behind a cue word; few of them have a letter before that a cue ends in.
+    signs = np.sort(np.concatenate([colons, np.flatnonzero(buf == ord("="))]))
+    signs = signs[signs > 0]
+    signs = signs[_CUE_ENDS[buf[signs - 1]]]
+    cued = np.array([p for p in signs.tolist() if _CUE.search(buf[max(0, p - 24) : p].tobytes())], np.int64)
+    at = np.unique(np.concatenate([np.flatnonzero(_ANCHOR[buf]), opens[long], closes[long] - 1, close, cued]))
     if not len(at):
         return at, at, at
     row = np.searchsorted(off, at, "right") - 1
