@@ -57,7 +57,7 @@ def test_features_are_those_of_each_text_alone():
 
 def test_quality_on_documents_held_out(spark, mid_dir):
     labels = read(spark, mid_dir, "labels")
-    docs = read(spark, mid_dir, "documents").where("n_chars < 6000").join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = read(spark, mid_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
     fitted = labels.where("doc_id % 2 = 0")
     held = labels.where("doc_id % 2 = 1").join(quality.score(docs, quality.train(docs, fitted)), "doc_id").toPandas()
     good = held.quality == 1
@@ -122,7 +122,7 @@ def test_units_see_through_separators():
 
 def test_toxicity_on_documents_held_out(spark, mid_dir):
     labels = read(spark, mid_dir, "labels")
-    docs = read(spark, mid_dir, "documents").where("n_chars < 2500").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).persist()
+    docs = read(spark, mid_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).persist()
     labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     held = labels.where("doc_id % 2 = 1").toPandas().set_index("doc_id").toxic
@@ -149,7 +149,7 @@ def test_toxicity_on_documents_held_out(spark, mid_dir):
 
 def test_little_abuse_in_long_documents(spark, mid_dir):
     labels = read(spark, mid_dir, "labels")
-    docs = read(spark, mid_dir, "documents").where("n_chars < 2500").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).persist()
+    docs = read(spark, mid_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4).persist()
     model = toxicity.train(docs, labels)
     clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(400).collect()]
     words = " ".join(clean).split(" ")[:20_000]
