@@ -75,8 +75,10 @@ def morton(x: Column, y: Column, bits: int = 16) -> Column:
 
 
 def spread_bits(n: Column) -> Column:
-    """The number's bits with a zero between any two: its binary digits, read to base four."""
-    return F.conv(F.bin(n), 4, 10).cast("bigint")
+    """The bits of a number of up to 32 bits with a zero between any two: halves are moved apart, then quarters, and so on."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask))
+    return n
 
 
 def metadata(meta: Column, key: str, default: str | None = None) -> Column:
