@@ -8,7 +8,8 @@ block's first document may have begun in any block before it, so a prefix scan o
 
 Defined results for odd input: two separators in a row are a document of no tokens. Tokens after a file's
 last separator are one more document; an empty file has none. A block without a separator just adds to
-the next one. Files may be of any length, documents longer than any number of blocks.
+the next one. Files may be of any length, documents longer than any number of blocks. A file that ends within a token is
+damaged, and refused with its name.
 
 ``write_token_files`` makes such files from a text column. A null text is written like an empty one.
 Repeated rows are written one by one, and null ids are kept.
@@ -94,7 +95,10 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, bits: int = 1
     found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
     width = bits // 8
     kind = np.dtype(f"<u{width}")
-    files = [(os.path.basename(f.path), f.size // width) for f in found if f.type == pafs.FileType.File and f.base_name.endswith(".bin") and not f.base_name.startswith(".") and f.size >= width]
+    own = [f for f in found if f.type == pafs.FileType.File and f.base_name.endswith(".bin") and not f.base_name.startswith(".")]
+    if damaged := sorted(f.base_name for f in own if f.size % width):
+        raise ValueError(f"token files that end within a token of {width} bytes: {', '.join(damaged[:5])}")
+    files = [(os.path.basename(f.path), f.size // width) for f in own if f.size]
     blocks = max(1, sum(-(-n // block_tokens) for _, n in files))
     table = spark.createDataFrame(files, "file string, tokens bigint").select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block"))
 

@@ -250,3 +250,6 @@ def test_token_counts_of_documents(spark, sf_dir, model):
     folder = fresh_path(spark, "none")
     assert token_counts.write_token_files(cases.empty(spark), folder).count() == 0
     assert token_counts.count_tokens(spark, folder, 2).count() == 0
+    write_file(f"{folder}/cut.bin", b"\x05\x00\x02")
+    with pytest.raises(ValueError, match="cut.bin"):
+        token_counts.count_tokens(spark, folder, 2)
