@@ -3,14 +3,15 @@
 A chunk is a run of whitespace markers and what follows up to the next marker. Where no piece of the
 vocabulary holds a marker behind another character, merges never reach over a chunk's end, so a text's
 ids are its chunks' ids in order. Each task keeps a table from chunk to ids: a chunk goes to the
-library once, every later occurrence is a gather by position. Chunks are found and made distinct on
-Arrow buffers; no row of text is touched by Python alone. Nothing is shuffled.
+library once, every later occurrence is a gather by position. Chunks are found, hashed and looked up for a whole slice
+at a time; no row of text, and no chunk but a new one, is touched by Python alone. Nothing is shuffled.
+A chunk is known by a 64-bit hash, its length and its first seven bytes.
 
 The condition is checked on the model when it is loaded (pieces across markers, a normaliser that changes
 text, no leading marker); a model that fails it is run on whole texts instead, with the same results.
 
-The table's memory is bounded: once it has ``table_chunks`` entries (the frequent ones come early), a further
-chunk is segmented once in each slice of documents instead. That only costs time.
+The table's memory is bounded: once it has ``table_chunks`` entries (the frequent ones come early; a million take about
+100 MB), a further chunk is segmented once in each slice of documents instead. That only costs time.
 
 Defined results for odd input: a null text has null ids, an empty one no ids. A text that holds the
 marker character itself decodes to a space there, as the library's own decoding has it. Decoding takes
@@ -33,15 +34,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import arrow_map
-from .text import runs, slices, text_buffer
+from .text import runs, slices, span_hashes, text_buffer
 
 TOKENIZERS = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 1_000_000
 _ENCODED_AT_ONCE = 16_384
 MARKER = "▁"
 
 
+def _marks(wide: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length (255 at most) and first seven bytes behind the marker of each chunk, as one number: all of a chunk of up to eight bytes."""
+    size = end - start
+    out = np.minimum(size, 255).astype(np.uint64)
+    for k in range(1, 8):
+        out = (out << np.uint64(8)) | np.where(size > k, wide[np.minimum(start + k, len(wide) - 1)], 0).astype(np.uint64)
+    return out
+
+
+class ChunkTable:
+    """A hash table of chunks known by a 64-bit hash and a 64-bit mark, in flat arrays; entries are numbered as they are added."""
+
+    def __init__(self):
+        self.n = 0
+        self._resize(1 << 16)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _resize(self, slots: int) -> None:
+        self.mask = np.uint64(slots - 1)
+        self.hash, self.mark, self.number = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+
+    def find(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The number of each chunk, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot = (hashes & self.mask).astype(np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            number = self.number[slot]
+            hit = (self.hash[slot] == hashes[open_]) & (self.mark[slot] == marks[open_]) & (number >= 0)
+            out[open_[hit]] = number[hit]
+            more = (number >= 0) & ~hit
+            open_, slot = open_[more], (slot[more] + 1) & int(self.mask)
+        return out
+
+    def add(self, hashes: np.ndarray, marks: np.ndarray) -> None:
+        """New chunks, each once."""
+        if 2 * (self.n + len(hashes)) > len(self.hash):
+            used = np.flatnonzero(self.number >= 0)
+            order = used[np.argsort(self.number[used])]
+            old = self.hash[order], self.mark[order]
+            slots = len(self.hash)
+            while 2 * (self.n + len(hashes)) > slots:
+                slots *= 2
+            self._resize(slots)
+            self._place(*old, 0)
+        self._place(hashes, marks, self.n)
+        self.n += len(hashes)
+
+    def _place(self, hashes: np.ndarray, marks: np.ndarray, number: int) -> None:
+        slot = (hashes & self.mask).astype(np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            free = np.flatnonzero(self.number[slot] < 0)
+            # Of several that want one slot, the last written has it.
+            self.number[slot[free]] = (number + open_[free]).astype(np.int32)
+            won = np.zeros(len(open_), bool)
+            won[free] = self.number[slot[free]] == number + open_[free]
+            self.hash[slot[won]], self.mark[slot[won]] = hashes[open_[won]], marks[open_[won]]
+            open_, slot = open_[~won], (slot[~won] + 1) & int(self.mask)
+
+
 class Codec:
     """A model with its chunk table."""
 
@@ -75,34 +139,50 @@ class Codec:
 
     def forget(self) -> None:
         """Start with an empty table."""
-        self.known: dict[bytes, int] = {}
+        self.table = ChunkTable()
         self.ids, self.filled = np.empty(1 << 16, np.int32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, int]:
-        """Segment ``chunks`` and give them the next places; those beyond the table's bound hold for this call only."""
-        n = len(self.known)
-        while n + len(chunks) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        filled, kept = self.filled, self.filled
+    def _segment(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after another, and how many each has."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i in range(0, len(chunks), _ENCODED_AT_ONCE):
             part = chunks[i : i + _ENCODED_AT_ONCE]
             found = self.model.encode([c[1:].decode() for c in part], num_threads=1)
             found = [(self.lone,) if c == b" " else f for f, c in zip(found, part, strict=True)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(sizes.sum())
-            while filled + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[filled : filled + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
-            self.at[n + i : n + i + len(part)] = filled + np.cumsum(sizes) - sizes
-            self.size[n + i : n + i + len(part)] = sizes
-            filled += total
-        room = max(0, min(len(chunks), self.table_chunks - n))
-        if room:
-            kept = int(self.at[n + room - 1] + self.size[n + room - 1])
-        self.filled = kept
-        self.known.update(zip(chunks[:room], range(n, n + room), strict=True))
-        return dict(zip(chunks[room:], range(n + room, n + len(chunks)), strict=True))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, wide: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each chunk's number in ``at`` and ``size``; new chunks are segmented, once each.
+
+        They stay in the table while it has room; the others are there until the next call.
+        """
+        hashes, marks = span_hashes(wide, start, end), _marks(wide, start, end)
+        place = self.table.find(hashes, marks)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return place
+        # A hash and a mark are one chunk; the mark tells those apart that share a hash.
+        order = new[np.lexsort((marks[new], hashes[new]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (marks[order][1:] != marks[order][:-1])
+        head = order[first]
+        data, n, known = wide.tobytes(), len(head), len(self.table)
+        ids, sizes = self._segment([data[a:z] for a, z in zip(start[head].tolist(), end[head].tolist(), strict=True)])
+        while known + n > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.at[known : known + n] = self.filled + np.cumsum(sizes) - sizes
+        self.size[known : known + n] = sizes
+        place[order] = known + np.cumsum(first) - 1
+        room = max(0, min(n, self.table_chunks - known))
+        self.table.add(hashes[head[:room]], marks[head[:room]])
+        self.filled += int(sizes[:room].sum())
+        return place
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and each row's offsets in them; nulls have none."""
@@ -127,12 +207,7 @@ class Codec:
         opens[1:] &= ~space[:-1]
         opens[lead] = True
         at = np.flatnonzero(opens)
-        edges = np.concatenate([at, [len(wide)]]).astype(np.int32)
-        chunks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(wide)]).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
-        known = self.known
-        rare = self._learn([c for c in distinct if c not in known])
-        place = np.fromiter((known[c] if c in known else rare[c] for c in distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
+        place = self._places(wide, at, np.append(at[1:], len(wide))) if len(at) else np.zeros(0, np.int64)
         sizes = self.size[place]
         ids = self.ids[runs(sizes, self.at[place])]
         total = np.concatenate([[0], np.cumsum(sizes)])

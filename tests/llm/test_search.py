@@ -238,6 +238,20 @@ def test_token_counts_against_a_walk(spark, block_tokens):
     assert got == want
 
 
+def test_chunk_table_with_hashes_that_clash():
+    rng = np.random.default_rng(2)
+    table = pieces.ChunkTable()
+    hashes = rng.integers(0, 50, 90_000).astype(np.uint64) << np.uint64(40)  # all of them want a few slots
+    hashes[::3] = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64)
+    pairs = np.unique(np.stack([hashes[:2_000], np.arange(2_000, dtype=np.uint64)]), axis=1)
+    spread = np.stack([hashes[::3], np.arange(30_000, dtype=np.uint64)])
+    for part in (pairs, spread[:, 1_000:9_000], spread[:, 9_000:]):
+        table.add(*part)
+    every = np.concatenate([pairs, spread[:, 1_000:]], axis=1)
+    assert len(table) == every.shape[1] and (table.find(*every) == np.arange(every.shape[1])).all()
+    assert (table.find(every[0], every[1] + np.uint64(1 << 40)) == -1).all() and len(table.find(*every[:, :0])) == 0
+
+
 def test_token_counts_of_documents(spark, sf_dir, model):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r.n_tokens for r in token_counts.op9_token_counts(spark, sf_dir).collect()}
