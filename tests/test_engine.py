@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -182,6 +183,25 @@ def test_ranges(spark):
     assert ranges.delete(t, t.where("id = 1")).count() == 4
 
 
+def test_overlaps_in_a_full_bin_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK", 64, raising=False)
+    t = spark.range(1000).selectExpr("id", "id % 7 AS lo", "10 + id % 5 AS hi").coalesce(1)
+    pairs = ranges.overlap_join(t, t, 100)
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert pairs.distinct().count() == sum(shares) == 1_000_000 and max(shares) < 100_000
+
+
+@pytest.mark.parametrize("width", [1, 30, 10_000])
+def test_overlaps_of_blocks_and_lengths(spark, monkeypatch, width):
+    monkeypatch.setattr(ranges, "BLOCK", 16, raising=False)
+    rng = random.Random(width)
+    make = lambda n: [(k, lo := rng.randrange(-900, 900), lo + rng.choice([-2, 0, 1, 25, 26, 130, 3000])) for k in range(n)]
+    a, b = make(150) + [(0, 5, 9), (0, 5, 9), (1, None, 3)], make(110)
+    frames = [spark.createDataFrame(x, "id long, lo long, hi long") for x in (a, b)]
+    want = sorted((*x, *y) for x in a for y in b if None not in x and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and x[2] >= y[1])
+    assert sorted(map(tuple, ranges.overlap_join(*frames, width).collect())) == want
+
+
 def test_geo(spark):
     p = spark.createDataFrame([(1, "a", 76.7, 39.0), (2, "a", 74.0, 37.0), (3, "b", 79.0, 46.0), (4, "a", 79.1, 46.0)], "id long, type string, x double, y double")
     assert {r.id for r in geo.in_box(p, 74, 37, 5, 9).collect()} == {1, 2, 3}
