@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions import scalars as S
-from gritstone.functions.visibility import allows, unexpired, visible, within_age
+from gritstone.functions.visibility import allows, millis, unexpired, visible, within_age
 from gritstone.model import ATTRS_SCHEMA, from_docs, to_docs
 from gritstone.operators import blobs, changelog, documents, features, geo, graph, lastn, ranges
 from gritstone.plans.criteria import Criteria, matching_ids, on_docs, wide
@@ -191,6 +191,15 @@ def test_overlaps_in_a_full_bin_are_many_tasks(spark, monkeypatch):
     assert pairs.distinct().count() == sum(shares) == 1_000_000 and max(shares) < 100_000
 
 
+def test_overlapping_times_of_a_day_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "BLOCK", 64, raising=False)
+    lo = F.lit("2024-01-05").cast("timestamp_ntz") + F.make_interval(hours=(F.col("id") % 5).cast("int"))
+    span = lambda n, days: spark.range(n).select("id", lo.alias("lo"), (lo + F.make_interval(days=F.lit(days))).alias("hi")).coalesce(1)
+    pairs = ranges.overlap_join(span(2000, 900), span(500, 1), 5 * 86_400_000, millis)
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert pairs.distinct().count() == sum(shares) == 1_000_000 and max(shares) < 100_000
+
+
 @pytest.mark.parametrize("width", [1, 30, 10_000])
 def test_overlaps_of_blocks_and_lengths(spark, monkeypatch, width):
     monkeypatch.setattr(ranges, "BLOCK", 16, raising=False)
