@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import scalars as S
 from gritstone.functions.visibility import allows, millis, unexpired, visible, within_age
-from gritstone.model import ATTRS_SCHEMA, from_docs, to_docs
+from gritstone.model import ATTRS_SCHEMA, from_docs, orders_as_attrs, orders_as_docs, to_docs
 from gritstone.operators import blobs, changelog, documents, features, geo, graph, lastn, ranges
 from gritstone.plans.criteria import Criteria, matching_ids, on_docs, wide
+from gritstone.queries import QUERIES
 from gritstone.sources import tables
 
 
@@ -121,6 +122,23 @@ def test_documents_round_trip(attrs):
     assert sorted(map(key, back.collect())) == sorted(map(key, attrs.collect()))
 
 
+def test_documents_of_orders_are_those_of_the_long_form(spark):
+    day = datetime(1995, 3, 1)
+    orders = spark.createDataFrame([(1, day, "1-URGENT", 5.5), (2, None, None, 0.0), (3, day, None, None), (4, day, None, None), (5, day, "low", None)], "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_totalprice double")
+    lines = [(1, "R", "F", 46.0), (1, "A", "O", 1.0), (1, "R", "F", 46.0), (3, None, None, None), (5, None, "O", 9.0), (99, "R", "O", 50.0), (None, "R", "O", 50.0)]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_linestatus string, l_quantity double")
+    got, want = orders_as_docs(orders, lineitem), to_docs(orders_as_attrs(orders, lineitem))
+    assert got.schema.simpleString() == want.schema.simpleString()
+    plain = lambda docs: sorted((r.doc_type, r.doc_id, str(r.ts), [a.ord for a in r.attrs], sorted(map(repr, r.attrs))) for r in docs.collect())
+    assert plain(got) == plain(want) and {r[1] for r in plain(got)} == {"1", "2", "5"}
+
+
+def test_documents_of_orders_gather_no_attributes(spark, sf_dir):
+    plan = QUERIES["multivalue_documents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list" in line]
+    assert gathered and not [line for line in gathered if "vtype" in line or "v_str" in line]
+
+
 def test_catalogue(attrs, spark):
     assert {r.key for r in documents.unique_keys(attrs, "t", "x").collect()} == {"x"}
     assert {r.value for r in documents.unique_values(attrs, "t", "x", "long").collect()} == {"1", "9", "5"}
