@@ -209,6 +209,13 @@ def test_overlaps_in_a_full_bin_are_many_tasks(spark, monkeypatch):
     assert pairs.distinct().count() == sum(shares) == 1_000_000 and max(shares) < 100_000
 
 
+def test_overlaps_of_constant_and_extreme_ends(spark):
+    same = spark.range(70).selectExpr("id", "7L AS lo", "7L AS hi")
+    assert ranges.overlap_join(same, same, 1).distinct().count() == 4900
+    far = spark.createDataFrame([(1, -(1 << 62), 1 << 62), (2, 1 << 62, (1 << 62) + 1), (3, 0, 0)], "id long, lo long, hi long")
+    assert sorted((r.a_id, r.b_id) for r in ranges.overlap_join(far, far, 1).collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 3)]
+
+
 def test_overlapping_times_of_a_day_are_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(ranges, "BLOCK", 64, raising=False)
     lo = F.lit("2024-01-05").cast("timestamp_ntz") + F.make_interval(hours=(F.col("id") % 5).cast("int"))
